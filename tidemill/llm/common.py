@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the Python side of an operator works on at once.
@@ -52,6 +53,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def extended(df: DataFrame, **kinds: str) -> StructType:
+    """The schema of ``df`` with further columns; ``StructType.add`` would change the frame's own."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in kinds.items())).fields])
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import block_count, hash_words, slices, split_words, text_or_empty, windows, without
+from tidemill.llm.common import block_count, extended, hash_words, slices, split_words, text_or_empty, windows, without
 
 K, SHINGLE = 256, 5
 _EMPTY = np.zeros(0, np.uint64)
@@ -90,7 +90,7 @@ def add_fingerprints(df: DataFrame, text: str = "text", k: int = K, shingle: int
             s = sketches(b.column(at), k, shingle)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([encode(x) for x in s], pa.string()), pa.array([distinct_count(x, k) for x in s], pa.float64())], [*names, "fingerprint", "n_shingles"])
 
-    return df.mapInArrow(run, df.schema.add("fingerprint", "string").add("n_shingles", "double"))
+    return df.mapInArrow(run, extended(df, fingerprint="string", n_shingles="double"))
 
 
 def beside_next(df: DataFrame, key: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemill.llm.common import slices, without
+from tidemill.llm.common import extended, slices, without
 
 #: Elements that are never main text.
 SKIPPED = frozenset("head title script style noscript template svg math canvas nav header footer aside form fieldset button select option textarea label iframe object audio video dialog menu".split())
@@ -200,7 +200,7 @@ def extract(df: DataFrame, html: str = "html") -> DataFrame:
         for b in slices(batches, names[at]):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([main_text(h) for h in b.column(at).to_pylist()], pa.string())], [*names, "text"])
 
-    return df.mapInArrow(run, df.schema.add("text", "string"))
+    return df.mapInArrow(run, extended(df, text="string"))
 
 
 def op6_html_extraction(pages: DataFrame) -> DataFrame:

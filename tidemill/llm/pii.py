@@ -16,7 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemill.llm.common import slices, without
+from tidemill.llm.common import extended, slices, without
 
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email", "secret")
 #: For tests and examples; give each corpus a secret one.
@@ -242,7 +242,7 @@ def pseudonymize(df: DataFrame, text: str = "text", key: bytes = DEMO_KEY) -> Da
             keys = ("start", "end", "kind", "pseudonym")
             yield pa.RecordBatch.from_arrays([*columns, pa.array([[dict(zip(keys, s, strict=True)) for s in spans] for _, spans in done], spans_type)], [*names, "pii"])
 
-    return df.mapInArrow(run, df.schema.add("pii", kind))
+    return df.mapInArrow(run, extended(df, pii=kind))
 
 
 def op4_pii(documents: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:

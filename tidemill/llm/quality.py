@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import slices, split_words, text_or_empty, without
+from tidemill.llm.common import extended, slices, split_words, text_or_empty, without
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -236,10 +236,7 @@ def judge_quality(df: DataFrame, trees: Trees, least_score: float = 0.5, least_w
     """
     df = without(df, *COUNTS, "base_failed", "score", "kept")
     names, at = df.columns, df.columns.index(text)
-    schema = df.schema
-    for c in COUNTS:
-        schema = schema.add(c, "long")
-    schema = schema.add("base_failed", "boolean").add("score", "double").add("kept", "boolean")
+    schema = extended(df, **dict.fromkeys(COUNTS, "long"), base_failed="boolean", score="double", kept="boolean")
     bound = trees
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
