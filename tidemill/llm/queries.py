@@ -10,6 +10,7 @@ from tidemill.llm.common import table
 from tidemill.llm.fingerprint import op8_fingerprints
 from tidemill.llm.html_text import op6_html_extraction
 from tidemill.llm.mixing import op7_mixing
+from tidemill.llm.near_dedup import op10_near_dedup
 from tidemill.llm.packing import op5_packing
 from tidemill.llm.pii import op4_pii
 from tidemill.llm.quality import op2_quality_rules
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_extraction": _over(op6_html_extraction, "pages"),
     "op7_mixing": _over(op7_mixing, "documents"),
     "op8_fingerprints": _over(op8_fingerprints, "documents"),
+    "op10_near_dedup": _over(op10_near_dedup, "documents"),
 }
 
 ORACLE_SQL: dict[str, str] = {}
