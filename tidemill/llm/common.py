@@ -122,3 +122,23 @@ def windows(hashes: np.ndarray, offsets: np.ndarray, n: int, short_whole: bool =
                 h = mix((h + w) * _GOLD + U64(j + 1))
             out[ends[i] - 1] = h[0]
     return np.concatenate([[0], ends]).astype(np.int64), out
+
+
+#: Bits of a filter at most: 8 MB. Beyond, it lets more rows through, to the exact join that follows it.
+MOST_FILTER_BITS = 1 << 26
+
+
+class RowFilter:
+    """A set of hashed longs as bits of bounded size, which thins rows out before an exact join. It has no false negatives."""
+
+    def __init__(self, df: DataFrame, hashed: str):
+        self.bits = min(MOST_FILTER_BITS, 1 << max(16, (16 * df.count()).bit_length()))
+        at = df.select(F.col(hashed).bitwiseAND(F.lit(self.bits - 1)).alias("p"))
+        words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(cast(1 as bigint), cast(p & 63 as int))")).alias("b")).toPandas()
+        self.words = np.zeros(self.bits >> 6, np.int64)
+        self.words[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+
+    def __call__(self, hashed: np.ndarray) -> np.ndarray:
+        """Whether each value may be in the set."""
+        at = hashed & (self.bits - 1)
+        return (self.words[at >> 6] >> (at & 63)) & 1 == 1

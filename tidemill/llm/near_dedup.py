@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import U64, checkpointed, hash_words, mix, slices, split_words, text_or_empty, windows, without
+from tidemill.llm.common import U64, RowFilter, checkpointed, hash_words, mix, slices, split_words, text_or_empty, windows, without
 from tidemill.llm.graph import components
 
 SYMBOLS, BITS = 64, 16
@@ -166,16 +166,23 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     same = full.join(classes, ["h1", "h2"])
     nodes = checkpointed(same.where("id = rep").dropDuplicates(["id", "h1", "h2"]).select("id", "n", "sig"))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                keys = bucket_keys(_signature_rows(b.column("sig")), most_errors)
-                ids = np.repeat(b.column("id").to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "id"])
+    def keyed(known: RowFilter | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    keys = bucket_keys(_signature_rows(b.column("sig")), most_errors)
+                    ids = np.repeat(b.column("id").to_numpy(), keys.shape[1])
+                    keys = keys.ravel()
+                    keep = slice(None) if known is None else known(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep])], ["key", "id"])
 
-    keys = nodes.select("id", "sig").mapInArrow(keyed, "key long, id long")
-    live = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = _blocks(keys.join(live, "key"), "key", "id", "size", block).join(nodes.select("id", "sig"), "id")
+        return run
+
+    keys = nodes.select("id", "sig").mapInArrow(keyed(None), "key long, id long")
+    live = checkpointed(keys.select("key").groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    # Most keys belong to one text: a filter of bounded size keeps them out of the join's shuffle.
+    maybe = nodes.select("id", "sig").mapInArrow(keyed(RowFilter(live, "key")), "key long, id long")
+    members = _blocks(maybe.join(live, "key"), "key", "id", "size", block).join(nodes.select("id", "sig"), "id")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us: list[int] = []
@@ -191,11 +198,19 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     sorted_members = members.select("key", "__i", "__j", "__side", "id", "sig").repartition("key", "__i", "__j").sortWithinPartitions("key", "__i", "__j", "id")
-    candidates = components(sorted_members.mapInArrow(near, "u long, v long").distinct())
+    candidates = checkpointed(components(sorted_members.mapInArrow(near, "u long, v long").distinct()))
+    # Few texts have a candidate: only theirs are moved.
+    chosen = RowFilter(candidates.select(F.xxhash64("node").alias("h")), "h")
+
+    @F.arrow_udf("boolean")
+    def may_be_chosen(hashed: pa.Array) -> pa.Array:
+        return pa.array(chosen(hashed.to_numpy(zero_copy_only=False)))
+
+    wanted = rows.where("id is not null").where(may_be_chosen(F.xxhash64("id")))
 
     sizes = candidates.groupBy("component").agg(F.count("*").alias("size"))
     placed = _blocks(candidates.join(sizes, "component"), "component", "node", "size", max(1, block // 4))
-    whole = placed.join(rows.withColumnRenamed("id", "node"), "node")
+    whole = placed.join(wanted.withColumnRenamed("id", "node"), "node")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _grouped(batches, ["component", "__i", "__j"]):
