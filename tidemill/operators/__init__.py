@@ -1 +1 @@
-"""Part of tidemill."""
+"""Operators on DataFrames."""

@@ -1 +1 @@
-"""Part of tidemill."""
+"""Reading tables and publishing snapshots."""
