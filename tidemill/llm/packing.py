@@ -59,10 +59,11 @@ class Encoder:
         """Remember new pre-tokens. Those without a line break are encoded in one text, a line each: a line break followed by
         no other white space is a pre-token of its own, and no other pre-token here holds its id."""
         lines = [p for p in new if "\n" not in p and not p.isspace()]
-        for piece, e in zip(rest := list(new.difference(lines)), self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+        for piece, e in zip(rest := list(new.difference(lines)), self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[piece] = np.array(e.ids, "<u4").tobytes()
         if lines:
-            ids = np.array(self.tokenizer.encode("\n".join([*lines, ""]), add_special_tokens=False).ids, "<u4")
+            chunks = ["\n".join([*lines[i : i + 2000], ""]) for i in range(0, len(lines), 2000)]
+            ids = np.array([i for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False) for i in e.ids], "<u4")
             ends = np.flatnonzero(ids == self.line_break)
             starts = np.concatenate([[0], ends[:-1] + 1])
             raw = ids.tobytes()
@@ -76,7 +77,7 @@ class Encoder:
         get = self.known.__getitem__
         whole = [i for i, p in enumerate(split) if p is None]
         ids = [b"".join(map(get, p)) if p is not None else b"" for p in split]
-        for i, e in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
+        for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
             ids[i] = np.array(e.ids, "<u4").tobytes()
         return ids
 
