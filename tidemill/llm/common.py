@@ -5,6 +5,8 @@ A word is a run of characters other than space and ``\\t \\n \\v \\f \\r``.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -74,6 +76,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = SLI
             stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    trim()
+
+
+def trim() -> None:
+    """Give back memory that a task no longer needs: Python workers outlive tasks, and run beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import checkpointed, slices, text_or_empty
+from tidemill.llm.common import checkpointed, slices, text_or_empty, trim
 
 SEQUENCE, SEPARATOR = 1024, 2
 #: Pieces in a block, about. Waste at a block's end is a few sequences at most.
@@ -156,6 +156,8 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
                     row += 1
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        encode.known.clear()
+        trim()
 
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
 
