@@ -7,30 +7,33 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import checkpointed
 
+EDGES_IN_A_FILE = 100_000
+
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for each node of ``edges`` (u, v); loops and repeats are allowed.
 
     Large-star and small-star rounds in turn: every edge list is rewritten onto smallest neighbours until nothing changes, in
-    about log2 of the longest path rounds. The state is checkpointed each round; only its size and sum reach the driver.
+    about log2 of the longest path rounds. The state is checkpointed each round; only its size reaches the driver.
     Minima are combined before the shuffle, so a hub's many edges meet as partial minima.
     """
     now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
     loops = edges.where("u = v").select("u")
-    seen = None
     for _ in range(most_rounds):
+        # A forest of stars is done: each leaf has one edge, and no root is a leaf.
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("root")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))
+        each = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root"))
+        size, undone = each.agg(F.sum("leaf"), F.max(((F.col("leaf") > 1) | ((F.col("leaf") > 0) & (F.col("root") > 0))).cast("int"))).first()
+        if not undone:
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
-        # A star forest has one edge for each node that isn't a root, and no root that is a leaf.
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
+        # Few edges need few files, however many partitions the shuffles have.
+        now = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct().coalesce(size // EDGES_IN_A_FILE + 1))
     else:
         raise RuntimeError("components did not settle")
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
