@@ -36,6 +36,8 @@ MARKS = frozenset(
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _WORDS = re.compile(r"[a-z0-9]+")
+#: A tag that the page's end cuts off.
+_CUT = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -184,7 +186,7 @@ def content_lines(lines: list[tuple[str, int, int, int]], parents: list[int], na
 
 def main_text(html: str | None) -> str:
     page = Lines()
-    page.feed(html or "")
+    page.feed(_CUT.sub("", html or ""))
     page.close()
     if not page.open[-1][2]:
         page.end_line()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import U64, hash_words, mix, shuffle_partitions, slices, split_words, text_or_empty, windows
+from tidemill.llm.common import U64, checkpointed, hash_words, mix, shuffle_partitions, slices, split_words, text_or_empty, windows
 from tidemill.llm.near_dedup import _grouped
 
 ORDER, BACKOFF, LEAST_COUNT = 3, 0.4, 2
@@ -97,7 +97,7 @@ def score_slice(offsets: np.ndarray, grams: list[np.ndarray], counts: list[np.nd
         score[at] = np.log(counts[n - 1][seen]) - np.log(np.maximum(context[seen], 1)) + (history[at] - (n - 1)) * np.log(backoff)
         if n == len(grams):
             top[at] = True
-    sums = np.bincount(texts, score, len(n_words))
+    sums = np.bincount(texts, score, len(n_words)).astype(float)  # of no words at all it is integers
     return sums, np.bincount(texts[top], minlength=len(n_words))
 
 
@@ -113,7 +113,11 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", corp
     spark = df.sparkSession
     buckets = 1 << max(6, (2 * shuffle_partitions(spark) - 1).bit_length())
     shift = U64(HASH_BITS - (buckets.bit_length() - 1))
+    # Two passes meet slice by slice, so both must cut the same slices. Files are read in the same order whenever they are read;
+    # what comes out of a shuffle is not, and is checkpointed first. Both passes take the same columns, so the same plan.
     rows = df.select(F.col(key).alias("id"), text_or_empty(text).alias("text"))
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = checkpointed(rows)
     names = ["slice", "wanted", "counted", "order", "bucket", "grams", "counts"]
 
     def explode(wanted: bool, counted: bool):
@@ -135,11 +139,11 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", corp
 
     kinds = "slice string, wanted boolean, counted boolean, order int, bucket int, grams binary, counts binary"
     if corpus is None:
-        packed = rows.select("text").mapInArrow(explode(True, True), kinds)
+        packed = rows.mapInArrow(explode(True, True), kinds)
         counted_rows = rows
     else:
         counted_rows = corpus.select(text_or_empty(text).alias("text"))
-        packed = rows.select("text").mapInArrow(explode(True, False), kinds).unionByName(counted_rows.select("text").mapInArrow(explode(False, True), kinds))
+        packed = rows.mapInArrow(explode(True, False), kinds).unionByName(counted_rows.select("text").mapInArrow(explode(False, True), kinds))
     total = counted_rows.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
