@@ -209,3 +209,12 @@ def test_transfers_conserve_the_sum(db):
     for amount in (5, -20):
         db.transaction(lambda c, a=amount: c.exec(f"UPDATE accounts SET bal = bal - {a} WHERE id = 1; UPDATE accounts SET bal = bal + {a} WHERE id = 2"))
     assert db.query("SELECT bal FROM accounts ORDER BY id").rows == [(65,), (35,)]
+
+
+def test_nearest(db):
+    db.exec("CREATE TABLE pts (id INTEGER PRIMARY KEY, e VECTOR(4)); CREATE INDEX i ON pts USING hnsw (e vector_l2_ops)")
+    db.exec("INSERT INTO pts VALUES " + ", ".join(f"({10 * i + j + 1}, [{i}, {j}, 0, 0])" for i in range(10) for j in range(10)) + ", (0, NULL)")
+    assert [r["id"] for r in db.nearest("pts", "e", [3, 7, 0, 0], 1).collect()] == [38]
+    assert [r["id"] for r in db.nearest("pts", "e", [3, 7, 0, 0], 3).collect()] == [38, 28, 37]
+    db.exec("SET ef_search = 400")
+    assert [r["id"] for r in db.nearest("pts", "e", [3, 7, 0, 0], 3, approximate=True).collect()] == [38, 28, 37]
