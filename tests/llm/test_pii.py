@@ -48,6 +48,13 @@ def test_equal_values_stay_linked():
     assert iso[3].split("-") == slashed[3].split("/")[::-1]
 
 
+@pytest.mark.parametrize("number", ["+33 1 23 45 67 89", "+44 20 7946 0958", "+49 (30) 901820", "+1-487-555-7209", "(487) 555-7209", "487.555.7209", "+14875557209"])
+def test_phones(number):
+    text = f"call {number}, or not"
+    new, spans = pseudonymize_text(text)
+    assert [(s[0], s[1], s[2]) for s in spans] == [(5, 5 + len(number), "phone")] and reveal(new) == text and number not in new
+
+
 @pytest.mark.parametrize("text", ["4111 1111 1111 1112", "1234567890123456", "GB82 WEST 1234 5698 7654 33", "000-12-3456", "256.1.1.1", "2021-13-01", "31.02.2020", "Version 2.0.", "v1.2.3.4.5", "a @ b", "0000000000000000", "12345", "token of thanks = mine"])
 def test_what_is_not_valid_stays(text):
     assert pseudonymize_text(text) == (text, [])

@@ -185,7 +185,7 @@ RULES: dict[str, tuple[re.Pattern, Callable]] = {
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])"), iban),
     "card": (re.compile(r"(?<!\d)(?<!\d[.,-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![.,-]?\d)", re.A), card),
     "ssn": (re.compile(r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])", re.A), ssn),
-    "phone": (re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\d-])", re.A), phone),
+    "phone": (re.compile(r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+(?!1\D)\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,4}){2,6}(?!\d)|(?<![\w+(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\d-])", re.A), phone),
     "ip": (re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", re.A), ip),
     "date": (re.compile(r"(?<![\d/.-])(?:\d{4}-\d\d-\d\d|\d\d?([/.])\d\d?\1\d{4})(?![\d/-])", re.A), day),
 }
