@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import U64, checkpointed, hash_words, mix, shuffle_partitions, slices, split_words, text_or_empty, windows
+from tidemill.llm.common import U64, checkpointed, hash_words, mix, shuffle_partitions, slices, split_words, text_or_empty, trim, windows
 from tidemill.llm.near_dedup import _grouped
 
 ORDER, BACKOFF, LEAST_COUNT = 3, 0.4, 2
@@ -79,15 +79,15 @@ def slice_name(texts: pa.Array) -> str:
     return digest.hexdigest()
 
 
-def score_slice(offsets: np.ndarray, grams: list[np.ndarray], counts: list[np.ndarray], total: int, backoff: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+def score_slice(offsets: np.ndarray, counts: list[np.ndarray], total: int, backoff: float, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(summed log score, words scored by the highest order) of each text; ``counts[n - 1]`` is the corpus count of each of its n-grams."""
     n_words = np.diff(offsets)
-    texts = np.repeat(np.arange(len(n_words)), n_words)
-    place = np.arange(len(texts)) - np.repeat(offsets[:-1], n_words)
-    history = np.minimum(place, len(grams) - 1)
+    texts = np.repeat(np.arange(len(n_words), dtype=np.int32), n_words)
+    place = np.minimum(np.arange(len(texts)) - np.repeat(offsets[:-1], n_words), len(counts)).astype(np.int8)
+    history = np.minimum(place, len(counts) - 1)
     score = np.log(np.maximum(counts[0], 1)) - np.log(max(total, 1)) + history * np.log(backoff)
     top = np.zeros(len(texts), bool)
-    for n in range(2, len(grams) + 1):
+    for n in range(2, len(counts) + 1):
         # The i-th n-gram of a text ends at its word i + n - 1; its context is the (n-1)-gram that begins with it.
         ends = np.flatnonzero(place >= n - 1)
         shorter = np.flatnonzero(place >= n - 2)
@@ -95,7 +95,7 @@ def score_slice(offsets: np.ndarray, grams: list[np.ndarray], counts: list[np.nd
         seen = counts[n - 1] >= least
         at = ends[seen]
         score[at] = np.log(counts[n - 1][seen]) - np.log(np.maximum(context[seen], 1)) + (history[at] - (n - 1)) * np.log(backoff)
-        if n == len(grams):
+        if n == len(counts):
             top[at] = True
     sums = np.bincount(texts, score, len(n_words)).astype(float)  # of no words at all it is integers
     return sums, np.bincount(texts[top], minlength=len(n_words))
@@ -158,6 +158,7 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", corp
             sums = np.add.reduceat(np.concatenate(weights)[order_], np.flatnonzero(first))
             answer = np.empty(len(every), np.int64)
             answer[order_] = sums[np.cumsum(first) - 1]
+            del every, ranked, order_, weights
             ends = np.cumsum([len(h) for h in hashes])
             done: set[str] = set()
             out = []
@@ -168,6 +169,7 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", corp
             n, k = g["order"][0].as_py(), g["bucket"][0].as_py()
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out]), pa.array([n] * len(out), pa.int32()), pa.array([k] * len(out), pa.int32()), pa.array([c for _, c in out])], ["slice", "order", "bucket", "counts"])
+        trim()
 
     dealt = packed.repartition(buckets, "order", "bucket").sortWithinPartitions("order", "bucket")
     answers = dealt.mapInArrow(count, "slice string, order int, bucket int, counts binary")
@@ -192,15 +194,22 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", corp
                     b = pa.ipc.open_stream(d).read_next_batch()
                     offsets, grams = gram_hashes(b.column("text"), order)
                     counts = []
-                    for all_grams, answer in zip(grams, of_order, strict=True):
+                    grams.reverse()
+                    for answer in of_order:
+                        # One length at a time, so that the others' hashes are gone or not yet ranked.
+                        all_grams = grams.pop()
                         codes, distinct = pd.factorize(all_grams, sort=True)
                         if len(distinct) != len(answer):
                             raise RuntimeError("a slice's n-grams and its counts differ; the input has changed while it was read")
                         counts.append(answer[codes])
-                    sums, seen = score_slice(offsets, grams, counts, int(g["n"][0].as_py() or 0), backoff, least_count)
+                        del all_grams, codes, distinct
+                    sums, seen = score_slice(offsets, counts, int(g["n"][0].as_py() or 0), backoff, least_count)
                     n_words = np.diff(offsets)
                     mean = pa.array(np.divide(sums, n_words, out=np.zeros(len(sums)), where=n_words > 0), mask=n_words == 0)
                     yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n_words), pa.array(seen.astype(np.int64)), pa.array(sums), mean], [key, "n_words", "n_seen", "log_score", "mean_log_score"])
+                    del b, grams, counts
+            del of_order, data
+            trim()
 
     return met.mapInArrow(score, f"`{key}` {id_type.simpleString()}, n_words long, n_seen long, log_score double, mean_log_score double")
 
