@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from tidemill.errors import ConflictError, StorageError
 
+#: Writing a manifest takes far less.
+STALE_SECONDS = 60
+
 
 class Files:
     """``create`` is exclusive where the file system makes it so (local files, HDFS): the base of compare-and-swap."""
@@ -41,7 +47,7 @@ class Files:
         stream.close()
         try:
             claim = self.jvm.org.apache.hadoop.fs.Path(f"{path}.claim")
-            if fs.exists(p) or not fs.createNewFile(claim):
+            if fs.exists(p) or not self._claim(fs, claim):
                 raise ConflictError(f"{path} was written by another commit")
             if not fs.rename(aside, p):
                 raise ConflictError(f"{path} was written by another commit")
@@ -49,6 +55,16 @@ class Files:
             if fs.exists(aside):
                 fs.delete(aside, False)
 
+    def _claim(self, fs, claim) -> bool:
+        """Claim a name. A claim whose writer died before it wrote is taken over when it is old."""
+        if fs.createNewFile(claim):
+            return True
+        try:
+            old = time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 > STALE_SECONDS
+        except Py4JJavaError:
+            return False
+        return old and fs.delete(claim, False) and fs.createNewFile(claim)
+
     def names(self, path: str) -> list[str]:
         p, fs = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
