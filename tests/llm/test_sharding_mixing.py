@@ -48,6 +48,11 @@ def test_shards_of_documents(docs):
     _check_shards(rows)
 
 
+def test_shards_stay_inside_the_jvm(docs):
+    plan = op3_sharding(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "text_crc32" in plan
+
+
 def test_shards_of_odd_rows(odd, empty):
     rows = op3_sharding(odd).collect()
     assert len(rows) == odd.count()
