@@ -25,6 +25,8 @@ from tidemill.llm.near_dedup import _grouped
 DEPTH, FIELDS = 3, 16
 LEAST_TOKENS, SIMILARITY = 2, 0.5
 LEAST_CONTEXTS, CONTEXT_SHARE = 5, 0.5
+#: Parts that the occurrences of one template are dealt in.
+SALTS = 16
 #: A token that is a variable field.
 VARIABLE = r"[0-9@]|://|^www\."
 _PARTS = [f"s{i}" for i in range(FIELDS // 4)]
@@ -151,7 +153,9 @@ def drop_recurring_lines(
     hits = checkpointed(lines.select("k1", "k2", "line_no", "leaf", "line", "context").join(named, ["leaf", "line"]).drop("line"))
     counts = hits.groupBy("leaf", "template").agg(F.count_distinct("context").alias("c"), F.count_distinct("k1", "k2").alias("t"))
     again = counts.where((F.col("c") >= least_contexts) & (F.col("c") >= F.lit(float(context_share)) * F.col("t"))).select("leaf", "template")
-    drops = hits.join(again, ["leaf", "template"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("line_no")).alias("__d"))
+    # A template may be in a third of all texts: its occurrences are dealt by their text as well.
+    salted = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    drops = hits.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).join(salted, ["leaf", "template", "salt"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("line_no")).alias("__d"))
     joined = keyed.join(drops, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left")
     parts = F.split(F.col(text), "\n", -1)
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__d", i)), "\n")
