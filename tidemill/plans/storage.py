@@ -115,7 +115,7 @@ def register() -> None:
     _stored("dml_ignore_replace", small + "INSERT OR IGNORE INTO t VALUES (1, 0, 'never', 0.0), (-1, 0, 'new', 1.5); INSERT OR REPLACE INTO t VALUES (2, 5, 'put', 2.5)", "SELECT id, owner, status, price FROM t WHERE id < 5", "SELECT o_orderkey AS id, o_custkey AS owner, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey < 5 AND o_orderkey <> 2 UNION ALL SELECT -1, 0, 'new', 1.5 UNION ALL SELECT 2, 5, 'put', 2.5", "orders")
     _stored("dml_transaction", small + "BEGIN; DELETE FROM t WHERE id < 1000; SAVEPOINT a; DELETE FROM t; ROLLBACK TO a; INSERT INTO t VALUES (-5, 1, 'kept', 0.5); COMMIT; BEGIN; DELETE FROM t; ROLLBACK", "SELECT count(*) AS n, min(id) AS lo FROM t", "SELECT (count(*) + 1)::BIGINT AS n, -5::BIGINT AS lo FROM orders WHERE o_orderkey BETWEEN 1000 AND 1999", "orders")
     _stored("ddl_alter", "CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT); INSERT INTO t SELECT r_regionkey, r_name FROM region; ALTER TABLE t ADD COLUMN score INTEGER DEFAULT 7; ALTER TABLE t RENAME COLUMN name TO label; ALTER TABLE t RENAME TO renamed", "SELECT id, label, score FROM renamed", "SELECT r_regionkey::BIGINT AS id, r_name AS label, 7::BIGINT AS score FROM region", "region")
-    _stored("ddl_view", "CREATE TABLE t (n INTEGER); INSERT INTO t SELECT n_nationkey FROM nation; CREATE VIEW doubled AS SELECT n * 2 AS d FROM t; CREATE VIEW over AS SELECT d + 1 AS e FROM doubled WHERE d > 10", "SELECT e FROM over", "SELECT n_nationkey * 2 + 1 AS e FROM nation WHERE n_nationkey > 5", "nation")
+    _stored("ddl_view", "CREATE TABLE t (n INTEGER); INSERT INTO t SELECT n_nationkey FROM nation; CREATE VIEW doubled AS SELECT n * 2 AS d FROM t; CREATE VIEW over AS SELECT d + 1 AS e FROM doubled WHERE d > 10", "SELECT e FROM over", "SELECT (n_nationkey * 2 + 1)::BIGINT AS e FROM nation WHERE n_nationkey > 5", "nation")
     _stored("catalog_relation", "CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT NOT NULL, n REAL UNIQUE DEFAULT 0)", "SHOW db.catalog", "SELECT * FROM (VALUES ('t', 'id', 'INTEGER', false, true, false, NULL), ('t', 'name', 'TEXT', true, false, false, NULL), ('t', 'n', 'REAL', false, false, true, '0')) v(tbl, col, typ, \"notnull\", pk, uniq, dflt)")
     plan("branch_isolation", _branch, "SELECT 'main' AS branch, n_nationkey::BIGINT AS id, n_name AS name FROM nation UNION ALL SELECT 'main', 100, 'main' UNION ALL SELECT 'trial', n_nationkey, CASE WHEN n_nationkey = 1 THEN 'B1' ELSE n_name END FROM nation WHERE n_nationkey % 2 = 1")
     plan("time_travel", _past, "SELECT 'then' AS at, r_regionkey::BIGINT AS id FROM region UNION ALL SELECT 'now', r_regionkey FROM region WHERE r_regionkey <= 1")
