@@ -162,7 +162,8 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     signed = checkpointed(rows.mapInArrow(sign, "id long, n long, h1 long, h2 long, sig binary"))
     full = signed.where("sig is not null and id is not null")
     # One text of each word sequence goes on. A sequence's rows share everything but the id.
-    classes = full.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    # Written, they are joined from an exchange of their own, so that a class of a third of all rows can be split.
+    classes = checkpointed(full.groupBy("h1", "h2").agg(F.min("id").alias("rep")))
     same = full.join(classes, ["h1", "h2"])
     nodes = checkpointed(same.where("id = rep").dropDuplicates(["id", "h1", "h2"]).select("id", "n", "sig"))
 
