@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import checkpointed
 
 EDGES_IN_A_FILE = 100_000
+#: Parts that the edges of one hub are dealt in.
+SALTS = 8
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -15,7 +17,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star rounds in turn: every edge list is rewritten onto smallest neighbours until nothing changes, in
     about log2 of the longest path rounds. The state is checkpointed each round; only its size reaches the driver.
-    Minima are combined before the shuffle, so a hub's many edges meet as partial minima.
+    Minima are combined before the shuffle, so a hub's many edges meet as partial minima; where they meet its minimum again they are salted.
     """
     now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
     loops = edges.where("u = v").select("u")
@@ -28,7 +30,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        dealt = low.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        large = both.where("v > u").withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(dealt, ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
