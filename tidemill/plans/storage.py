@@ -32,7 +32,7 @@ def _secured(query: str) -> Callable[[SparkSession, str], DataFrame]:
         c = _store(spark, sf_dir, "orders", "customer")
         c.exec(
             "CREATE TABLE mine (id INTEGER PRIMARY KEY, owner INTEGER, status TEXT, price REAL); "
-            "INSERT INTO mine SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey < 3000; "
+            "INSERT INTO mine SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders; "
             "ALTER TABLE mine ENABLE ROW LEVEL SECURITY; "
             "CREATE POLICY finals ON mine FOR SELECT TO reader USING (status = 'F'); "
             "CREATE POLICY own ON mine FOR ALL TO reader USING (owner = auth.uid()::int); "
@@ -99,21 +99,27 @@ def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register() -> None:
-    plan("rls_select", _secured("SELECT id, owner, status FROM mine"), "SELECT o_orderkey AS id, o_custkey AS owner, o_orderstatus AS status FROM orders WHERE o_orderkey < 3000 AND (o_orderstatus = 'F' OR o_custkey = 7)")
-    plan("rls_join", _secured("SELECT c.c_name, m.id FROM customer c JOIN (SELECT * FROM mine) m ON m.owner = c.c_custkey"), "SELECT c.c_name, o_orderkey AS id FROM customer c JOIN orders ON o_custkey = c_custkey WHERE o_orderkey < 3000 AND (o_orderstatus = 'F' OR o_custkey = 7)")
+    plan("rls_select", _secured("SELECT id, owner, status FROM mine"), "SELECT o_orderkey AS id, o_custkey AS owner, o_orderstatus AS status FROM orders WHERE (o_orderstatus = 'F' OR o_custkey = 7)")
+    plan("rls_join", _secured("SELECT c.c_name, m.id FROM customer c JOIN (SELECT * FROM mine) m ON m.owner = c.c_custkey"), "SELECT c.c_name, o_orderkey AS id FROM customer c JOIN orders ON o_custkey = c_custkey WHERE (o_orderstatus = 'F' OR o_custkey = 7)")
     plan("rls_default_deny", _denied, "SELECT 0::BIGINT AS n")
-    small = "CREATE TABLE t (id INTEGER PRIMARY KEY, owner INTEGER, status TEXT, price REAL); INSERT INTO t SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey < 2000;"
-    rows = "SELECT o_orderkey AS id, o_custkey AS owner, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey < 2000"
+    small = "CREATE TABLE t (id INTEGER PRIMARY KEY, owner INTEGER, status TEXT, price REAL); INSERT INTO t SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders;"
+    rows = "SELECT o_orderkey AS id, o_custkey AS owner, o_orderstatus AS status, o_totalprice AS price FROM orders"
     every = "SELECT id, owner, status, price FROM t"
     _stored("dml_insert_select", small, every, rows, "orders")
     _stored("dml_insert_defaults", "CREATE TABLE t (id SERIAL PRIMARY KEY, name TEXT DEFAULT 'none', n INTEGER DEFAULT 1 + 1); INSERT INTO t (name) VALUES ('a'), (DEFAULT); INSERT INTO t (id, name) VALUES (10, 'x'); INSERT INTO t DEFAULT VALUES", "SELECT id, name, n FROM t", "SELECT id::BIGINT AS id, name, 2::BIGINT AS n FROM (VALUES (1, 'a'), (2, 'none'), (10, 'x'), (11, 'none')) v(id, name)")
     _stored("dml_update", small + "UPDATE t SET price = price * 2, status = 'X' WHERE status = 'F'", every, f"SELECT id, owner, CASE WHEN status = 'F' THEN 'X' ELSE status END AS status, CASE WHEN status = 'F' THEN price * 2 ELSE price END AS price FROM ({rows})", "orders")
     _stored("dml_update_from", small + "UPDATE t SET status = c.c_mktsegment FROM customer c WHERE c.c_custkey = t.owner AND c.c_acctbal < 0", every, f"SELECT id, owner, coalesce(c_mktsegment, status) AS status, price FROM ({rows}) LEFT JOIN (SELECT * FROM customer WHERE c_acctbal < 0) ON c_custkey = owner", "orders", "customer")
-    _stored("dml_delete", small + "DELETE FROM t WHERE price > 200000.0", every, f"{rows} AND o_totalprice <= 200000.0", "orders")
+    _stored("dml_delete", small + "DELETE FROM t WHERE price > 200000.0", every, f"{rows} WHERE o_totalprice <= 200000.0", "orders")
     _stored("dml_delete_using", small + "DELETE FROM t USING customer c WHERE c.c_custkey = t.owner AND c.c_mktsegment = 'BUILDING'", every, f"SELECT * FROM ({rows}) WHERE owner NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')", "orders", "customer")
-    _stored("dml_upsert", small + "INSERT INTO t SELECT o_orderkey, o_custkey, 'new', o_totalprice + 1 FROM orders WHERE o_orderkey BETWEEN 1990 AND 2010 ON CONFLICT (id) DO UPDATE SET status = excluded.status || t.status, price = excluded.price WHERE t.status <> 'P'", every, "SELECT o_orderkey AS id, o_custkey AS owner, CASE WHEN o_orderkey >= 2000 THEN 'new' WHEN o_orderkey >= 1990 AND o_orderstatus <> 'P' THEN 'new' || o_orderstatus ELSE o_orderstatus END AS status, CASE WHEN o_orderkey >= 2000 OR (o_orderkey >= 1990 AND o_orderstatus <> 'P') THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey <= 2010", "orders")
-    _stored("dml_ignore_replace", small + "INSERT OR IGNORE INTO t VALUES (1, 0, 'never', 0.0), (-1, 0, 'new', 1.5); INSERT OR REPLACE INTO t VALUES (2, 5, 'put', 2.5)", "SELECT id, owner, status, price FROM t WHERE id < 5", "SELECT o_orderkey AS id, o_custkey AS owner, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey < 5 AND o_orderkey <> 2 UNION ALL SELECT -1, 0, 'new', 1.5 UNION ALL SELECT 2, 5, 'put', 2.5", "orders")
-    _stored("dml_transaction", small + "BEGIN; DELETE FROM t WHERE id < 1000; SAVEPOINT a; DELETE FROM t; ROLLBACK TO a; INSERT INTO t VALUES (-5, 1, 'kept', 0.5); COMMIT; BEGIN; DELETE FROM t; ROLLBACK", "SELECT count(*) AS n, min(id) AS lo FROM t", "SELECT (count(*) + 1)::BIGINT AS n, -5::BIGINT AS lo FROM orders WHERE o_orderkey BETWEEN 1000 AND 1999", "orders")
+    upsert = "INSERT INTO t SELECT o_orderkey * 2, o_custkey, 'new', o_totalprice + 1 FROM orders ON CONFLICT (id) DO UPDATE SET status = excluded.status || t.status, price = excluded.price WHERE t.status <> 'P'"
+    upserted = (
+        "SELECT b.o_orderkey AS id, b.o_custkey AS owner, CASE WHEN n.o_orderkey IS NOT NULL AND b.o_orderstatus <> 'P' THEN 'new' || b.o_orderstatus ELSE b.o_orderstatus END AS status, "
+        "CASE WHEN n.o_orderkey IS NOT NULL AND b.o_orderstatus <> 'P' THEN n.o_totalprice + 1 ELSE b.o_totalprice END AS price FROM orders b LEFT JOIN orders n ON n.o_orderkey * 2 = b.o_orderkey "
+        "UNION ALL SELECT o_orderkey * 2, o_custkey, 'new', o_totalprice + 1 FROM orders WHERE o_orderkey * 2 NOT IN (SELECT o_orderkey FROM orders)"
+    )
+    _stored("dml_upsert", small + upsert, every, upserted, "orders")
+    _stored("dml_ignore_replace", small + "INSERT OR IGNORE INTO t VALUES (1, 0, 'never', 0.0), (-1, 0, 'new', 1.5); INSERT OR REPLACE INTO t VALUES (2, 5, 'put', 2.5)", every, f"{rows} WHERE o_orderkey <> 2 UNION ALL SELECT -1, 0, 'new', 1.5 UNION ALL SELECT 2, 5, 'put', 2.5", "orders")
+    _stored("dml_transaction", small + "BEGIN; DELETE FROM t WHERE price > 200000.0; SAVEPOINT a; DELETE FROM t; ROLLBACK TO a; INSERT INTO t VALUES (-5, 1, 'kept', 0.5); COMMIT; BEGIN; DELETE FROM t; ROLLBACK", "SELECT count(*) AS n, min(id) AS lo FROM t", "SELECT (count(*) + 1)::BIGINT AS n, -5::BIGINT AS lo FROM orders WHERE o_totalprice <= 200000.0", "orders")
     _stored("ddl_alter", "CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT); INSERT INTO t SELECT r_regionkey, r_name FROM region; ALTER TABLE t ADD COLUMN score INTEGER DEFAULT 7; ALTER TABLE t RENAME COLUMN name TO label; ALTER TABLE t RENAME TO renamed", "SELECT id, label, score FROM renamed", "SELECT r_regionkey::BIGINT AS id, r_name AS label, 7::BIGINT AS score FROM region", "region")
     _stored("ddl_view", "CREATE TABLE t (n INTEGER); INSERT INTO t SELECT n_nationkey FROM nation; CREATE VIEW doubled AS SELECT n * 2 AS d FROM t; CREATE VIEW over AS SELECT d + 1 AS e FROM doubled WHERE d > 10", "SELECT e FROM over", "SELECT (n_nationkey * 2 + 1)::BIGINT AS e FROM nation WHERE n_nationkey > 5", "nation")
     _stored("catalog_relation", "CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT NOT NULL, n REAL UNIQUE DEFAULT 0)", "SHOW db.catalog", "SELECT * FROM (VALUES ('t', 'id', 'INTEGER', false, true, false, NULL), ('t', 'name', 'TEXT', true, false, false, NULL), ('t', 'n', 'REAL', false, false, true, '0')) v(tbl, col, typ, \"notnull\", pk, uniq, dflt)")

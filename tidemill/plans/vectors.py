@@ -30,6 +30,10 @@ def _sql(term: str, where: str = "", k: int = 10) -> str:
     return f"SELECT vec_id, round(d, 3) AS d FROM (SELECT e.vec_id, {d} AS d FROM embeddings e, (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) q {where} ORDER BY d, e.vec_id LIMIT {k})"
 
 
+def _within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connect(spark, sf_dir, "embeddings").sql("SELECT vec_id FROM embeddings WHERE embedding <-> $1 < 1.2", [_query(spark, sf_dir)])
+
+
 def _ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.functions.ann import build_index
 
@@ -43,9 +47,5 @@ def register() -> None:
     plan("knn_ip", _knn("<#>"), _sql("ip"))
     plan("knn_filtered", _knn("<->", "WHERE label = 3", 5), _sql("l2", "WHERE label = 3", 5))
     plan("knn_ann_all_cells", _ann, _sql("l2"))
-    dialect(
-        "vec_distance_filter",
-        "SELECT a.vec_id AS one, b.vec_id AS other FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 50 AND b.vec_id < 50 AND a.embedding <-> b.embedding < 1.2",
-        "SELECT a.vec_id AS one, b.vec_id AS other FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 50 AND b.vec_id < 50 AND list_distance(a.embedding, b.embedding) < 1.2",
-    )
+    plan("vec_distance_filter", _within, "SELECT e.vec_id FROM embeddings e, (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) q WHERE list_distance(e.embedding, q.v) < 1.2")
     dialect("vec_literal", "SELECT round([1, 2, 3] <-> '[1,2,5]', 6) AS l2, round([1, 0] <=> [0, 2], 6) AS cosine, [1, 2] <#> [3, 4] AS ip, [0, 0] <=> [1, 1] AS zero", "SELECT 2.0::DOUBLE AS l2, 1.0::DOUBLE AS cosine, -11.0::DOUBLE AS ip, 1.0::DOUBLE AS zero")
