@@ -23,7 +23,7 @@ from tidemill.llm.common import checkpointed, slices, text_or_empty, trim
 
 SEQUENCE, SEPARATOR = 1024, 2
 #: Pieces in a block, about. Waste at a block's end is a few sequences at most.
-BLOCK_PIECES = 16_384
+BLOCK_PIECES = 8192
 #: Words whose ids a worker remembers at once.
 MOST_REMEMBERED = 600_000
 
