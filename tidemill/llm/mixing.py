@@ -10,6 +10,8 @@ from tidemill.llm.common import WORD, block_count, checkpointed, text_or_empty,
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_EPOCHS = 2.0
+#: Rows of the plan (some 50 bytes each) that are broadcast at most.
+MOST_BROADCAST_ROWS = 100_000
 
 
 def word_count(column: str = "text") -> Column:
@@ -74,6 +76,9 @@ def mix_sources(
     plan = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(
         starts["source"].alias("__src"), starts["__b"].alias("__pb"), "__start", "source_size", "target"
     )
+    # A row for each source and block: small unless there are very many sources, so it is counted before it is broadcast.
+    if sums.count() <= MOST_BROADCAST_ROWS:
+        plan = F.broadcast(plan)
     inner = Window.partitionBy("source", "__b").orderBy("__key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__before", F.sum("size").over(inner) - F.col("size"))
     joined = rows.join(plan, rows["source"].eqNullSafe(plan["__src"]) & (rows["__b"] == plan["__pb"]))
