@@ -111,9 +111,9 @@ def test_odd_rows(odd, empty):
 
 
 def test_templates_of_a_leaf():
-    t = ld.line_templates(pa.array(["a b c " + " ".join(x) for x in (["d", "e", "f"], ["d", "e", "g"], ["x", "y", "z"])]))
+    t = ld.line_templates(pa.array(["a b c c " + " ".join(x) for x in (["d", "e", "f"], ["d", "e", "g"], ["x", "y", "z"])]))
     assert len(set(t["leaf"])) == 1 and len(set(t["line"])) == 3
     packed = np.column_stack([t[p] for p in ld._PARTS]).view(np.uint64)
     fields = np.column_stack([(packed[:, i // 4] >> np.uint64(48 - 16 * (i % 4))) & np.uint64(0xFFFF) for i in range(16)]).astype(np.int64)
-    assert ld.leaf_templates(fields, 6, similarity=0.6).tolist() == [0, 0, 1]
+    assert ld.leaf_templates(fields, 7, similarity=0.65).tolist() == [0, 0, 1]
     assert len(ld.line_templates(pa.array(["", None, " \n "]))["row"]) == 0

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import U64, checkpointed, hash_words, mix, slices, split_words, text_or_empty, without
 from tidemill.llm.near_dedup import _grouped
 
-DEPTH, FIELDS = 3, 16
+DEPTH, FIELDS = 4, 16
 LEAST_TOKENS, SIMILARITY = 2, 0.5
 LEAST_CONTEXTS, CONTEXT_SHARE = 5, 0.5
 #: Parts that the occurrences of one template are dealt in.
@@ -155,7 +155,9 @@ def drop_recurring_lines(
     again = counts.where((F.col("c") >= least_contexts) & (F.col("c") >= F.lit(float(context_share)) * F.col("t"))).select("leaf", "template")
     # A template may be in a third of all texts: its occurrences are dealt by their text as well.
     salted = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Written, so that the join to the texts has an exchange on either side and a text of which there are very many can be split.
     drops = hits.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).join(salted, ["leaf", "template", "salt"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("line_no")).alias("__d"))
+    drops = checkpointed(drops)
     joined = keyed.join(drops, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left")
     parts = F.split(F.col(text), "\n", -1)
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__d", i)), "\n")
