@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import table
-from tidemill.llm.line_dedup import drop_recurring_lines
+from tidemill.llm.line_dedup import LEAST_DOCUMENTS, drop_recurring_lines
 from tidemill.llm.mixing import mix_sources, word_count
 from tidemill.llm.near_dedup import drop_near_duplicates
 from tidemill.llm.packing import pack
@@ -34,7 +34,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; n_chars follows the text. One of which no word is left goes."""
-    out = drop_recurring_lines(docs.select(*COLUMNS)).where(_words("text") | (F.size("dropped") == 0))
+    out = drop_recurring_lines(docs.select(*COLUMNS), least_documents=LEAST_DOCUMENTS).where(_words("text") | (F.size("dropped") == 0))
     return out.withColumn("n_chars", F.when(F.size("dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -5,8 +5,8 @@ links are variable fields. In a leaf, lines that agree in enough fields share a
 Beyond the leading tokens a line has up to 16 fields: single tokens, or equal runs of tokens where it is longer, so a line
 is a few numbers however long it is. A template that recurs across documents is dropped from all of them.
 
-Copies of whole documents are not boilerplate: equal texts count once, and a template counts as recurring only where it stands between
-different neighbours in most of the texts that hold it.
+Copies of whole documents are not boilerplate: near copies are linked into classes by signatures of the whole texts, and a template counts
+as recurring where texts of several classes hold it, whatever its neighbours are. `drop_recurring_lines` can judge by neighbours too.
 """
 
 from __future__ import annotations
@@ -19,12 +19,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import U64, checkpointed, hash_words, mix, slices, split_words, text_or_empty, without
-from tidemill.llm.near_dedup import _grouped
+from tidemill.llm.common import U64, checkpointed, hash_words, mix, slices, split_words, text_or_empty, windows, without
+from tidemill.llm.graph import components
+from tidemill.llm.near_dedup import _blocks, _grouped, forest, signature
 
 DEPTH, FIELDS = 4, 16
 LEAST_TOKENS, SIMILARITY = 2, 0.5
 LEAST_CONTEXTS, CONTEXT_SHARE = 5, 0.5
+#: Classes of near copies that must hold a template. Linking may miss a copy of a large group, so the classes must also be
+#: more than one for each ``TEXTS_A_CLASS`` of the texts that hold it.
+LEAST_DOCUMENTS, TEXTS_A_CLASS = 5, 100
+#: Near copies: 16 bands of 4 symbols meet in buckets, and are linked if this many of all symbols over two-word shingles agree.
+SHINGLE, SYMBOLS, BANDS, BAND, AGREE = 2, 128, 16, 4, 80
+CLASS_BLOCK = 1024
 #: Parts that the occurrences of one template are dealt in.
 SALTS = 16
 #: A token that is a variable field.
@@ -32,8 +39,9 @@ VARIABLE = r"[0-9@]|://|^www\."
 _PARTS = [f"s{i}" for i in range(FIELDS // 4)]
 
 
-def line_templates(texts: pa.Array, depth: int = DEPTH) -> dict[str, np.ndarray]:
-    """One entry for each line with a token: ``row``, ``line_no``, ``n``, ``leaf``, ``line``, ``context`` and the packed fields.
+def line_templates(texts: pa.Array, depth: int = DEPTH, signed: bool = False) -> dict[str, np.ndarray]:
+    """One entry for each line with a token: ``row``, ``line_no``, ``n``, ``leaf``, ``line``, ``context`` and the packed fields; if ``signed``,
+    ``sign``: the signature of the whole text at its first line, else None.
 
     A line is what ``\\n`` ends; its number counts all lines from 0. The context is the leading tokens of the lines before and after that have tokens.
     """
@@ -71,6 +79,12 @@ def line_templates(texts: pa.Array, depth: int = DEPTH) -> dict[str, np.ndarray]
         "line": mix(total[start + n] - total[start] + n.astype(U64)).view(np.int64),
         "context": mix(mix(before + U64(3)) + after).view(np.int64),
     }
+    if signed:
+        ends, rolled = windows(tokens, offsets[np.concatenate([[0], np.cumsum(per)])], SHINGLE)
+        first = np.flatnonzero(edge[:-1])
+        out["sign"] = np.full(len(row), None, object)
+        for i, r in zip(first, row[first], strict=True):
+            out["sign"][i] = signature(rolled[ends[r] : ends[r + 1]], SYMBOLS).tobytes()
     return out | {name: p.view(np.int64) for name, p in zip(_PARTS, packed, strict=True)}
 
 
@@ -98,13 +112,44 @@ def leaf_templates(fields: np.ndarray, n: int, depth: int = DEPTH, similarity: f
     return out
 
 
-def assign_templates(lines: DataFrame, least_tokens: int, depth: int, similarity: float, least_contexts: int) -> DataFrame:
-    """(leaf, line, template) for the lines of leaves with ``least_contexts`` different surroundings or more.
+def copy_classes(signed: DataFrame) -> DataFrame:
+    """(id, class) of the texts of ``signed`` (id, sign) that have a near copy among them: the smallest id reachable by links.
+
+    Texts meet in the buckets of their bands; in each a spanning forest of the links is kept. Large buckets are split in pairs of blocks.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s = np.frombuffer(b"".join(b.column("sign").to_pylist()), "<u2").reshape(b.num_rows, -1).astype(U64)
+                for i in range(BANDS):
+                    h = np.full(len(s), U64(i + 1))
+                    for j in range(i * BAND, (i + 1) * BAND):
+                        h = mix(h * U64(0x9E3779B97F4A7C15) + s[:, j] + U64(1))
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("id")], ["key", "id"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _grouped(batches, ["key", "__i", "__j"]):
+            ids, side = g["id"].to_numpy(), g["__side"].to_numpy()
+            s = np.frombuffer(b"".join(g["sign"].to_pylist()), "<u2").reshape(len(ids), -1)
+            edges = forest(s, side, lambda at, others, s=s: (s[others] == s[at]).sum(axis=1) >= AGREE)
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in edges], pa.int64()), pa.array([ids[b] for _, b in edges], pa.int64())], ["u", "v"])
+
+    keyed = checkpointed(signed.mapInArrow(keys, "key long, id long"))
+    live = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = _blocks(keyed.join(live, "key"), "key", "id", "size", CLASS_BLOCK).join(signed, "id")
+    by_bucket = members.select("key", "__i", "__j", "__side", "id", "sign").repartition("key", "__i", "__j").sortWithinPartitions("key", "__i", "__j", "id")
+    return components(by_bucket.mapInArrow(link, "u long, v long").distinct()).select(F.col("node").alias("id"), F.col("component").alias("class"))
+
+
+def assign_templates(lines: DataFrame, least_tokens: int, depth: int, similarity: float, least: int, of: str = "context") -> DataFrame:
+    """(leaf, line, template) for the lines of leaves with ``least`` different values of ``of`` or more.
 
     Equal lines meet as one row before a leaf is formed, the most frequent first, so a leaf's size is that of its variety.
     """
     long = lines.where(F.col("n") >= least_tokens)
-    live = long.groupBy("leaf").agg(F.count_distinct("context").alias("c")).where(F.col("c") >= least_contexts).select("leaf")
+    live = long.groupBy("leaf").agg(F.count_distinct(of).alias("c")).where(F.col("c") >= least).select("leaf")
     told = long.groupBy("leaf", "line", "n", *_PARTS).agg(F.count("*").alias("seen")).join(live, "leaf")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,11 +173,13 @@ def drop_recurring_lines(
     similarity: float = SIMILARITY,
     least_contexts: int = LEAST_CONTEXTS,
     context_share: float = CONTEXT_SHARE,
+    least_documents: int | None = None,
 ) -> DataFrame:
     """``df`` with recurring lines taken out of ``text``, and ``n_lines`` (of the old text) and ``dropped`` (their numbers, from 0, ascending).
 
-    Dropped: lines of at least ``least_tokens`` tokens whose template has ``least_contexts`` different surroundings or more, and as many as
-    ``context_share`` of the different texts that hold it. Every occurrence goes; other lines stay as they are, blank ones too. Null text
+    Dropped: lines of at least ``least_tokens`` tokens whose template is held by texts of ``least_documents`` classes of near copies or more
+    (and more than one for each ``TEXTS_A_CLASS`` texts). If that is None, those whose template has ``least_contexts`` different surroundings or
+    more, and as many as ``context_share`` of the different texts that hold it. Every occurrence goes; other lines stay as they are, blank ones too. Null text
     stays null and has no lines; repeated rows get the same result. Decisions hang on a text's content alone, so they are
     joined to the rows by its hash and the text is moved once.
     """
@@ -140,19 +187,33 @@ def drop_recurring_lines(
     keyed = df.withColumn("__k1", F.xxhash64(text)).withColumn("__k2", F.xxhash64(text, F.lit(1)))
     names = ["k1", "k2", "line_no", "n", "leaf", "line", "context", *_PARTS]
     kinds = dict(zip(names, ["long", "long", "int", "int", *["long"] * 7], strict=True))
+    by_class = least_documents is not None
+    if by_class:
+        names.append("sign")
+        kinds["sign"] = "binary"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            t = line_templates(b.column("text"), depth)
+            t = line_templates(b.column("text"), depth, by_class)
             columns = [b.column(k).to_numpy()[t["row"]] for k in ("k1", "k2")] + [t[c] for c in names[2:]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) if n == "sign" else pa.array(c) for n, c in zip(names, columns, strict=True)], names)
 
     texts = keyed.where(F.col(text).isNotNull()).select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col(text).cast("string").alias("text"))
     lines = checkpointed(texts.mapInArrow(parse, ", ".join(f"{n} {k}" for n, k in kinds.items())))
-    named = assign_templates(lines, least_tokens, depth, similarity, least_contexts)
+    least, of = (least_documents, "k1") if by_class else (least_contexts, "context")
+    named = assign_templates(lines, least_tokens, depth, similarity, least, of)
     hits = checkpointed(lines.select("k1", "k2", "line_no", "leaf", "line", "context").join(named, ["leaf", "line"]).drop("line"))
-    counts = hits.groupBy("leaf", "template").agg(F.count_distinct("context").alias("c"), F.count_distinct("k1", "k2").alias("t"))
-    again = counts.where((F.col("c") >= least_contexts) & (F.col("c") >= F.lit(float(context_share)) * F.col("t"))).select("leaf", "template")
+    if by_class:
+        holders = hits.groupBy("leaf", "template").agg(F.count_distinct("k1").alias("t")).where(F.col("t") >= least).join(hits.select("leaf", "template", "k1").distinct(), ["leaf", "template"])
+        holders = checkpointed(holders.select("leaf", "template", F.col("k1").alias("id")))
+        signed = lines.where("sign is not null").select(F.col("k1").alias("id"), "sign").dropDuplicates(["id"])
+        classes = copy_classes(checkpointed(signed.join(holders.select("id").distinct(), "id")))
+        of_class = holders.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+        counts = of_class.groupBy("leaf", "template").agg(F.count_distinct("class").alias("c"), F.count("*").alias("t"))
+        again = counts.where((F.col("c") >= least) & (F.col("c") * TEXTS_A_CLASS > F.col("t"))).select("leaf", "template")
+    else:
+        counts = hits.groupBy("leaf", "template").agg(F.count_distinct("context").alias("c"), F.count_distinct("k1", "k2").alias("t"))
+        again = counts.where((F.col("c") >= least_contexts) & (F.col("c") >= F.lit(float(context_share)) * F.col("t"))).select("leaf", "template")
     # A template may be in a third of all texts: its occurrences are dealt by their text as well.
     salted = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # Written, so that the join to the texts has an exchange on either side and a text of which there are very many can be split.
@@ -167,5 +228,5 @@ def drop_recurring_lines(
 
 def op9_line_dedup(documents: DataFrame) -> DataFrame:
     """Every document's text without recurring lines."""
-    out = drop_recurring_lines(documents.select("doc_id", "text"))
+    out = drop_recurring_lines(documents.select("doc_id", "text"), least_documents=LEAST_DOCUMENTS)
     return out.select("doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped_lines"))
