@@ -27,3 +27,18 @@ def test_fixed_headers_and_footers_of_several_lines_go(spark, n, header):
     texts = ["\n".join(FOOTERS[n] + unlike(rng) if header else unlike(rng) + FOOTERS[n]) for _ in range(12)]
     want = list(range(n)) if header else list(range(4, 4 + n))
     assert dropped(spark, texts) == [want] * 12
+
+
+@pytest.mark.parametrize("holders", [2, 3, 4])
+def test_passages_of_few_unlike_documents_go(spark, holders):
+    rng = random.Random(20 + holders)
+    one, several = words(rng, 60, 50_000), [words(rng, 15, 50_000) for _ in range(4)]
+    texts = ["\n".join(unlike(rng, 2) + p + unlike(rng, 2)) for p in ([one], several) for _ in range(holders)]
+    assert dropped(spark, texts) == [[2]] * holders + [[2, 3, 4, 5]] * holders
+
+
+def test_two_near_copies_stay(spark):
+    rng = random.Random(30)
+    lines = [words(rng, 20, 50_000) for _ in range(6)]
+    edited = [*lines[:2], lines[2] + " edited here", *lines[3:]]
+    assert dropped(spark, ["\n".join(lines), "\n".join(edited), "\n".join(unlike(rng))]) == [[], [], []]

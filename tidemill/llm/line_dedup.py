@@ -26,9 +26,9 @@ from tidemill.llm.near_dedup import _blocks, _grouped, forest, signature
 DEPTH, FIELDS = 4, 16
 LEAST_TOKENS, SIMILARITY = 2, 0.5
 LEAST_CONTEXTS, CONTEXT_SHARE = 5, 0.5
-#: Classes of near copies that must hold a template. Linking may miss a copy of a large group, so the classes must also be
-#: more than one for each ``TEXTS_A_CLASS`` of the texts that hold it.
-LEAST_DOCUMENTS, TEXTS_A_CLASS = 5, 100
+#: Classes of near copies that must hold a template: two, so whatever repeats across unlike documents goes. Linking may miss a copy of a
+#: large group, so the classes must also be more than one for each ``TEXTS_A_CLASS`` of the texts that hold it.
+LEAST_DOCUMENTS, TEXTS_A_CLASS = 2, 100
 #: Near copies: 16 bands of 4 symbols meet in buckets, and are linked if this many of all symbols over two-word shingles agree.
 SHINGLE, SYMBOLS, BANDS, BAND, AGREE = 2, 128, 16, 4, 80
 CLASS_BLOCK = 1024
