@@ -42,3 +42,17 @@ def test_two_near_copies_stay(spark):
     lines = [words(rng, 20, 50_000) for _ in range(6)]
     edited = [*lines[:2], lines[2] + " edited here", *lines[3:]]
     assert dropped(spark, ["\n".join(lines), "\n".join(edited), "\n".join(unlike(rng))]) == [[], [], []]
+
+
+def test_a_large_group_of_near_copies_weighs_as_one(spark):
+    rng = random.Random(40)
+    common = words(rng, 12, 50_000)
+    base = unlike(rng, 8)
+    texts = ["\n".join([*unlike(rng), common]) for _ in range(30)]
+    for i in range(200):
+        lines = list(base)
+        at = lines[i % 8].split()
+        at[5 + i % 10] = words(rng, 1, 10**6)
+        lines[i % 8] = " ".join(at)
+        texts.append("\n".join([*lines, common]))
+    assert dropped(spark, texts) == [[4]] * 30 + [[8]] * 200
