@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tidemill.plans.registry import connect, dialect, plan
 
@@ -41,11 +42,36 @@ def _ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_index(df, "vec_id", "embedding", "l2", cells=16).search(_query(spark, sf_dir), 10, probes=16).selectExpr("vec_id", "round(distance, 3) as d")
 
 
+def recall(spark: SparkSession, sf_dir: str, metric: str = "l2", k: int = 10) -> tuple[int, float]:
+    """(queries, recall at ``k``) of an index with the default settings, for all rows with ``vec_id % 50 = 0``, against all rows by brute force."""
+    from functools import reduce
+
+    from tidemill.functions.ann import build_index
+    from tidemill.functions.vectors import distance
+
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    queries = df.where("vec_id % 50 = 0").select("vec_id", "embedding").collect()
+    index = build_index(df, "vec_id", "embedding", metric)
+    index.rows = index.rows.localCheckpoint()
+    found = reduce(DataFrame.unionByName, [index.search([float(x) for x in v], k).select("vec_id").withColumn("q", F.lit(q)) for q, v in queries])
+    asked = df.where("vec_id % 50 = 0").selectExpr("vec_id AS q", "embedding AS v")
+    pairs = asked.crossJoin(df.select("vec_id", "embedding")).withColumn("d", F.expr(distance(metric, "embedding", "v")))
+    true = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))).where(F.col("r") <= k).select("q", "vec_id")
+    total, hit = true.count(), true.join(found, ["q", "vec_id"]).count()
+    return len(queries), hit / total if total else 1.0
+
+
+def _ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, reached = recall(spark, sf_dir)
+    return spark.range(1).select(F.lit(n).cast("long").alias("queries"), F.lit(reached >= 0.9).alias("reached"))
+
+
 def register() -> None:
     plan("knn_l2", _knn("<->"), _sql("l2"))
     plan("knn_cosine", _knn("<=>"), _sql("cosine"))
     plan("knn_ip", _knn("<#>"), _sql("ip"))
     plan("knn_filtered", _knn("<->", "WHERE label = 3", 5), _sql("l2", "WHERE label = 3", 5))
     plan("knn_ann_all_cells", _ann, _sql("l2"))
+    plan("knn_ann_recall", _ann_recall, "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
     plan("vec_distance_filter", _within, "SELECT e.vec_id FROM embeddings e, (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) q WHERE list_distance(e.embedding, q.v) < 1.2")
     dialect("vec_literal", "SELECT round([1, 2, 3] <-> '[1,2,5]', 6) AS l2, round([1, 0] <=> [0, 2], 6) AS cosine, [1, 2] <#> [3, 4] AS ip, [0, 0] <=> [1, 1] AS zero", "SELECT 2.0::DOUBLE AS l2, 1.0::DOUBLE AS cosine, -11.0::DOUBLE AS ip, 1.0::DOUBLE AS zero")
