@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import defaultdict
 
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemill.llm.packing import Encoder, cuts, op5_packing, pack, pack_lengths, sum_of_squares, tokenizer_file
+from tidemill.llm.packing import Encoder, all_cuts, cuts, op5_packing, pack, pack_lengths, sum_of_squares, tokenizer_file
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +34,37 @@ def test_special_strings(tokenizer):
     assert [np.frombuffer(b, "<u4").tolist() for b in Encoder(tokenizer_file())(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("'stmdrevlSL  \n\"1é-"), max_size=14), max_size=6))
+def test_contractions_and_spaces(texts):
+    encode = Encoder(tokenizer_file())
+    assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_what_is_remembered_is_bounded(docs):
+    encode = Encoder(tokenizer_file(), most=500)
+    for r in docs.collect()[:60]:
+        assert np.frombuffer(encode([r.text or ""])[0], "<u4").tolist() == encode.tokenizer.encode(r.text or "", add_special_tokens=False).ids
+        assert len(encode.known) <= 500 + len((r.text or "").encode())
+
+
+def test_a_tokenizer_that_splits_otherwise_gets_whole_texts(tmp_path):
+    with open(tokenizer_file(), encoding="utf-8") as f:
+        told = json.load(f)
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(told))
+    encode = Encoder(str(tmp_path / "other.json"))
+    texts = ["Words and 'more", "", " x"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts] and not encode.known
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=20), st.integers(1, 20))
+def test_cuts_of_many(sizes, length):
+    per, start, n = all_cuts(np.array(sizes), length)
+    assert list(zip(start.tolist(), n.tolist())) == [c for s in sizes for c in cuts(s, length)] and per.sum() == len(start)
+
+
 def test_cuts():
     assert cuts(5, 10) == [(0, 5)] and cuts(10, 10) == [(0, 10)] and cuts(20, 10) == [(0, 10), (10, 10)] and cuts(23, 10) == [(0, 3), (3, 10), (13, 10)]
 
