@@ -5,15 +5,17 @@ A word is a run of characters other than space and ``\\t \\n \\v \\f \\r``.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,17 +31,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows from reliable files in the folder of ``spark.checkpoint.dir``.
+STORED_BLOCK = 8 << 20
+_local_folder: list[str] = []
+_stored: list[tuple[SparkSession, str]] = []
 
-    Only where that setting is absent (local tests) a temporary folder is used.
-    """
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where that is unset a temporary folder serves a local master; on a cluster that's an error."""
+    if (top := spark.conf.get("spark.checkpoint.dir", None)) is not None:
+        return top.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="tidemill-shared-"))
+        atexit.register(shutil.rmtree, _local_folder[0], ignore_errors=True)
+    return _local_folder[0]
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows from reliable files in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from Parquet in the shared folder, where several readers each need few of the columns. Removed when Python ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.option("parquet.block.size", STORED_BLOCK).parquet(path)  # what a writer holds beside the workers
+    _stored.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _remove_stored() -> None:
+    for spark, path in _stored:
+        with contextlib.suppress(Exception):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -106,9 +139,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places ``start[i]`` to ``start[i] + length[i] - 1`` for each i, one after another."""
+    ends = np.cumsum(length, dtype=np.int64)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
+
+
 def hash_words(dictionary: pa.Array, seed: int = 0) -> np.ndarray:
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w, seed) for w in dictionary.cast(pa.binary()).to_pylist()), U64, len(dictionary))
+    """A 64-bit hash of each string: the sum of a mixed number for each byte and place, mixed with the length."""
+    dictionary = dictionary.cast(pa.large_binary())
+    if not len(dictionary):
+        return np.zeros(0, U64)
+    offsets = np.frombuffer(dictionary.buffers()[1], np.int64)[dictionary.offset : dictionary.offset + len(dictionary) + 1]
+    lengths = np.diff(offsets)
+    data = np.frombuffer(dictionary.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    starts = offsets - offsets[0]
+    place = (np.arange(len(data)) - np.repeat(starts[:-1], lengths)).astype(U64)
+    keyed = int(mix(np.array([seed + 1], U64))[0])
+    total = np.concatenate([[U64(0)], np.cumsum(mix(((place << U64(8)) | data) * _GOLD + U64(keyed)), dtype=U64)])
+    return mix(total[starts[1:]] - total[starts[:-1]] + (lengths.astype(U64) + U64(1)) * _MIX1)
 
 
 def windows(hashes: np.ndarray, offsets: np.ndarray, n: int, short_whole: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import U64, checkpointed, hash_words, mix, shuffle_partitions, slices, split_words, text_or_empty, trim, windows
-from tidemill.llm.near_dedup import _grouped
+from tidemill.llm.graph import grouped
 
 ORDER, BACKOFF, LEAST_COUNT = 3, 0.4, 2
 #: Bytes of text in a slice: a worker's memory is some ten times that.
@@ -147,7 +147,7 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", corp
     total = counted_rows.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _grouped(batches, ["order", "bucket"]):
+        for g in grouped(batches, ["order", "bucket"]):
             # The same slice may come again where rows repeat: its counts add, and its answer is wanted once.
             hashes = [unpack_sorted(x) for x in g["grams"].to_pylist()]
             weights = [unpack_counts(x) * int(c) for x, c in zip(g["counts"].to_pylist(), g["counted"].to_pylist(), strict=True)]
@@ -186,7 +186,7 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", corp
     id_type = rows.schema["id"].dataType
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _grouped(batches, ["slice"]):
+        for g in grouped(batches, ["slice"]):
             orders, data = g["order"].to_numpy(), g["counts"].to_pylist()
             of_order = [np.concatenate([np.zeros(0, np.int64), *[unpack_counts(d) for o, d in zip(orders, data, strict=True) if o == n]]) for n in range(1, order + 1)]
             for o, d in zip(orders, data, strict=True):

@@ -6,9 +6,10 @@ into chunks so that by pigeonhole one chunk has few enough errors, and for each
 enumerated by leaving symbols out. With 25 errors, a pair of resemblance 0.8 is farther apart once in ten thousand times.
 
 Pairs are never listed. Texts of equal word sequences are one node. Within a bucket only a spanning forest of the pairs under
-the signature distance is kept; the forests' components are candidate groups; within each, links are confirmed
-on full shingle sets, nearest first, and a spanning forest of true links remains. Buckets and groups of more than ``block`` texts are
-split in blocks, each pair of blocks a task of its own, so no task holds an unbounded group and no pair is lost.
+the signature distance is kept; the forests' components are candidate groups; within each, every pair that its
+full shingle sets don't rule out is compared on them, whatever the signatures say, and a spanning forest of true links remains. Texts don't move
+for that, but the sets of those in a group. Buckets of many texts, and groups of many texts or shingles, are split in blocks, each pair of blocks a
+task of its own, so no task holds an unbounded group and no pair is lost.
 """
 
 from __future__ import annotations
@@ -20,22 +21,25 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import U64, RowFilter, checkpointed, hash_words, mix, slices, split_words, text_or_empty, windows, without
-from tidemill.llm.graph import components
+from tidemill.llm.graph import components, links_in_groups, whole_groups
 
 SYMBOLS, BITS = 64, 16
 MOST_ERRORS = 25
 SHINGLE, PERCENT = 5, 80
-BLOCK = 4096
+#: Texts of a bucket, and texts and shingles of a candidate group, that are one block.
+BLOCK, GROUP_BLOCK, BLOCK_SHINGLES = 4096, 256, 1 << 20
+#: Bits of the sketch that rules pairs of sets out.
+RULED_BITS = 8192
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @lru_cache(4)
 def _multipliers(n: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+    return ((mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) >> U64(32)).astype(np.uint32) | np.uint32(1))[:, None]
 
 
 def shingle_sets(texts: pa.Array, shingle: int, lower: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -56,25 +60,28 @@ def shingle_sets(texts: pa.Array, shingle: int, lower: bool) -> tuple[list[np.nd
 
 
 def signature(hashes: np.ndarray, n: int = SYMBOLS) -> np.ndarray:
-    """``n`` symbols of 16 bits; the set must not be empty."""
-    lowest = np.full(n, np.iinfo(U64).max, U64)
-    for i in range(0, len(hashes), 1024):
-        np.minimum(lowest, (hashes[i : i + 1024, None] * _multipliers(n)[None, :]).min(axis=0), out=lowest)
-    return (mix(lowest) >> U64(64 - BITS)).astype("<u2")
+    """``n`` symbols of 16 bits; the set must not be empty. The permutations multiply the upper 32 bits of the hashes."""
+    lowest, upper = np.full(n, np.iinfo(np.uint32).max, np.uint32), (hashes >> U64(32)).astype(np.uint32)
+    for i in range(0, len(upper), 2048):
+        np.minimum(lowest, (_multipliers(n) * upper[None, i : i + 2048]).min(axis=1), out=lowest)
+    return (mix(lowest.astype(U64) + U64(1)) >> U64(64 - BITS)).astype("<u2")
 
 
 @lru_cache(4)
 def chunk_masks(n: int = SYMBOLS, most_errors: int = MOST_ERRORS, per_chunk: int = 1) -> list[np.ndarray]:
     """The symbols that each key takes. With ``per_chunk`` errors enumerated in a chunk, as many chunks are needed that
     ``most_errors`` errors can't put more than that in every one."""
-    chunks = most_errors // (per_chunk + 1) + 1
-    return [np.array(sorted(set(c.tolist()) - set(left))) for c in np.array_split(np.arange(n), chunks) for left in combinations(c.tolist(), min(per_chunk, len(c) - 1))]
+    return [np.array(sorted(set(c.tolist()) - set(left))) for c in chunks(n, most_errors, per_chunk) for left in combinations(c.tolist(), min(per_chunk, len(c) - 1))]
 
 
-def bucket_keys(signatures: np.ndarray, most_errors: int = MOST_ERRORS) -> np.ndarray:
-    """(texts, keys) 64-bit keys."""
+def chunks(n: int = SYMBOLS, most_errors: int = MOST_ERRORS, per_chunk: int = 1) -> list[np.ndarray]:
+    return np.array_split(np.arange(n), most_errors // (per_chunk + 1) + 1)
+
+
+def bucket_keys(signatures: np.ndarray, masks: list[np.ndarray] | None = None) -> np.ndarray:
+    """(texts, keys) 64-bit keys, one for each mask; by default those of all allowed errors."""
     out = []
-    for i, mask in enumerate(chunk_masks(signatures.shape[1], most_errors)):
+    for i, mask in enumerate(masks or chunk_masks(signatures.shape[1])):
         h = np.full(len(signatures), U64(i + 1))
         for s in mask:
             h = mix(h * U64(0x9E3779B97F4A7C15) + signatures[:, s].astype(U64) + U64(1))
@@ -82,57 +89,41 @@ def bucket_keys(signatures: np.ndarray, most_errors: int = MOST_ERRORS) -> np.nd
     return np.column_stack(out).view(np.int64)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
-    """Runs of equal keys in sorted batches, each as one table."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in key]
-        change = np.zeros(b.num_rows, bool)
-        change[0] = True
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        starts = np.flatnonzero(change)
-        for a, z in zip(starts, [*starts[1:], b.num_rows], strict=True):
-            now = tuple(c[a] for c in columns)
-            if now != last and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = now
-            held.append(b.slice(a, z - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _signature_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
 
 
-def forest(near: np.ndarray, left: np.ndarray, confirm) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among rows. A row reaches rows within ``confirm``; ``left``: side of each row (0: both).
-
-    Breadth first: each row is compared once with all rows not yet reached, so a dense group costs about one comparison a row.
-    """
-    todo = np.arange(len(near))
-    edges = []
-    while len(todo):
-        front, todo = [int(todo[0])], todo[1:]
-        while front and len(todo):
-            at = front.pop()
-            others = todo if left[at] == 0 else todo[left[todo] != left[at]]
-            linked = others[confirm(at, others)] if len(others) else others
-            if len(linked):
-                edges += [(at, int(o)) for o in linked]
-                front += linked.tolist()
-                todo = todo[~np.isin(todo, linked, assume_unique=True)]
-    return edges
-
-
-def _blocks(df: DataFrame, group: str, id_: str, size: str, block: int) -> DataFrame:
-    """``df`` with ``__i``, ``__j`` (a pair of blocks, which together form a task) and ``__side``: 0 within a block, else 1 or 2."""
-    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
+class Sets:
+    """Ascending distinct shingle hashes of several texts, and which of them are linked."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.sets, self.percent = sets, percent
+        self.size = np.array([len(x) for x in sets], np.int64)
+        at = np.concatenate([h >> U64(64 - RULED_BITS.bit_length() + 1) for h in sets]).astype(np.int64) if sets else np.zeros(0, np.int64)
+        bits = np.zeros((len(sets), RULED_BITS), bool)
+        bits[np.repeat(np.arange(len(sets)), self.size), at] = True
+        self.bits = np.packbits(bits, axis=1).view(U64)
+
+    def linked(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Whether texts ``u[i]`` and ``v[i]`` are: first by their sizes, then by the sketches, which bound what is not common from below, then in full."""
+        small, large = np.minimum(self.size[u], self.size[v]), np.maximum(self.size[u], self.size[v])
+        out = 100 * small >= self.percent * large
+        out &= small > 0
+        some = np.flatnonzero(out)
+        a, b = self.bits[u[some]], self.bits[v[some]]
+        common = np.minimum(self.size[u[some]] - np.bitwise_count(a & ~b).sum(axis=1), self.size[v[some]] - np.bitwise_count(b & ~a).sum(axis=1)).astype(np.int64)
+        out[some] = 100 * common >= self.percent * (small[some] + large[some] - common)
+        for k in np.flatnonzero(out):
+            x, y = self.sets[u[k]], self.sets[v[k]]
+            spot = np.searchsorted(x, y)
+            n = int((x[np.minimum(spot, len(x) - 1)] == y).sum())
+            out[k] = 100 * n >= self.percent * (len(x) + len(y) - n)
+        return out
+
+
+def _blocks(df: DataFrame, id_: str, size: Column, block: int) -> DataFrame:
+    """``df``, in whose rows ``size`` is that of their group, with ``__i``, ``__j`` (a pair of blocks, which together form a task) and ``__side``: 0 within a block, else 1 or 2."""
+    n = F.greatest(F.lit(1), F.ceil(size / F.lit(block)).cast("int"))
     own = F.pmod(F.xxhash64(id_, F.lit("block")), n).cast("int")
     tasks = F.transform(
         F.sequence(F.lit(0), n - 1),
@@ -167,39 +158,48 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     same = full.join(classes, ["h1", "h2"])
     nodes = checkpointed(same.where("id = rep").dropDuplicates(["id", "h1", "h2"]).select("id", "n", "sig"))
 
-    def keyed(known: RowFilter | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    keys = bucket_keys(_signature_rows(b.column("sig")), most_errors)
-                    ids = np.repeat(b.column("id").to_numpy(), keys.shape[1])
-                    keys = keys.ravel()
-                    keep = slice(None) if known is None else known(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep])], ["key", "id"])
-
-        return run
-
-    keys = nodes.select("id", "sig").mapInArrow(keyed(None), "key long, id long")
-    live = checkpointed(keys.select("key").groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    # Most keys belong to one text: a filter of bounded size keeps them out of the join's shuffle.
-    maybe = nodes.select("id", "sig").mapInArrow(keyed(RowFilter(live, "key")), "key long, id long")
-    members = _blocks(maybe.join(live, "key"), "key", "id", "size", block).join(nodes.select("id", "sig"), "id")
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us: list[int] = []
-        vs: list[int] = []
-        for g in _grouped(batches, ["key", "__i", "__j"]):
-            ids, signs, side = g["id"].to_numpy(), _signature_rows(g["sig"]), g["__side"].to_numpy()
-            for a, b in forest(signs, side, lambda at, others, s=signs: (s[others] != s[at]).sum(axis=1) <= most_errors):
-                us.append(min(ids[a], ids[b]))
-                vs.append(max(ids[a], ids[b]))
-            if len(us) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-                us, vs = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-
-    sorted_members = members.select("key", "__i", "__j", "__side", "id", "sig").repartition("key", "__i", "__j").sortWithinPartitions("key", "__i", "__j", "id")
-    candidates = checkpointed(components(sorted_members.mapInArrow(near, "u long, v long").distinct()))
+    def candidates_by(masks: list[np.ndarray], labelled: DataFrame) -> DataFrame:
+        """(u, v) of ``labelled`` (id, sig, label): edges that connect, in each bucket, what is near and of unlike label."""
+
+        def keyed(known: RowFilter | None):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    if b.num_rows:
+                        keys = bucket_keys(_signature_rows(b.column("sig")), masks)
+                        ids = np.repeat(b.column("id").to_numpy(), keys.shape[1])
+                        keys = keys.ravel()
+                        keep = slice(None) if known is None else known(keys)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep])], ["key", "id"])
+
+            return run
+
+        keys = labelled.select("id", "sig").mapInArrow(keyed(None), "key long, id long")
+        live = checkpointed(keys.select("key").groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+        # Most keys belong to one text: a filter of bounded size keeps them out of the join's shuffle.
+        maybe = labelled.select("id", "sig").mapInArrow(keyed(RowFilter(live, "key")), "key long, id long")
+        members = _blocks(maybe.join(live, "key"), "id", F.col("size"), block).join(labelled, "id")
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for g, starts in whole_groups(batches, ["key", "__i", "__j"]):
+                ids, label, signs = g["id"].to_numpy(), g["label"].to_numpy(), _signature_rows(g["sig"])
+
+                def close(a: np.ndarray, b: np.ndarray, label=label, signs=signs) -> np.ndarray:
+                    out = label[a] != label[b]
+                    out[out] = (signs[a[out]] != signs[b[out]]).sum(axis=1) <= most_errors
+                    return out
+
+                u, v = links_in_groups(starts, len(ids), close, g["__side"].to_numpy())
+                edges = pa.table({"u": np.minimum(ids[u], ids[v]), "v": np.maximum(ids[u], ids[v])}).group_by(["u", "v"]).aggregate([])
+                yield from edges.select(["u", "v"]).to_batches()
+
+        dealt = members.select("key", "__i", "__j", "__side", "id", "label", "sig").repartition("key", "__i", "__j").sortWithinPartitions("key", "__i", "__j", "id")
+        return dealt.mapInArrow(near, "u long, v long").distinct()
+
+    # Texts that share a whole chunk first: in the many buckets of the enumerated errors only texts that are still apart are compared.
+    first = checkpointed(components(candidates_by(chunks(SYMBOLS, most_errors), nodes.select("id", "sig", F.col("id").alias("label")))))
+    apart = nodes.join(first.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "sig", F.coalesce("component", "id").alias("label"))
+    edges = candidates_by(chunk_masks(SYMBOLS, most_errors), checkpointed(apart))
+    candidates = checkpointed(components(edges.unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v")))))
     # Few texts have a candidate: only theirs are moved.
     chosen = RowFilter(candidates.select(F.xxhash64("node").alias("h")), "h")
 
@@ -209,35 +209,24 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
 
     wanted = rows.where("id is not null").where(may_be_chosen(F.xxhash64("id")))
 
-    sizes = candidates.groupBy("component").agg(F.count("*").alias("size"))
-    placed = _blocks(candidates.join(sizes, "component"), "component", "node", "size", max(1, block // 4))
-    whole = placed.join(wanted.withColumnRenamed("id", "node"), "node")
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            sets = shingle_sets(b.column("text"), shingle, lower)[0]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "set"])
+
+    weights = candidates.join(nodes.groupBy(F.col("id").alias("node")).agg(F.max("n").alias("n")), "node")
+    sizes = weights.groupBy("component").agg(F.greatest(F.count("*"), F.sum("n") * F.lit(GROUP_BLOCK / BLOCK_SHINGLES)).alias("size"))
+    placed = _blocks(candidates.join(sizes, "component"), "node", F.col("size"), max(1, min(GROUP_BLOCK, block)))
+    whole = placed.join(wanted.mapInArrow(shingled, "node long, set binary"), "node")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _grouped(batches, ["component", "__i", "__j"]):
-            ids, side = g["node"].to_numpy(), g["__side"].to_numpy()
-            sets: list[np.ndarray] = []
-            for b in g.to_batches():
-                for piece in slices(iter([b]), "text"):
-                    sets += shingle_sets(piece.column("text"), shingle, lower)[0]
-            size = np.array([len(s) for s in sets])
-            signs = np.stack([signature(s) if len(s) else np.zeros(SYMBOLS, "<u2") for s in sets])
-
-            def confirm(at: int, others: np.ndarray, sets=sets, size=size, signs=signs) -> np.ndarray:
-                possible = (100 * np.minimum(size[others], size[at]) >= percent * np.maximum(size[others], size[at])) & ((signs[others] != signs[at]).sum(axis=1) <= most_errors)
-                out = np.zeros(len(others), bool)
-                for k in np.flatnonzero(possible):
-                    o = sets[others[k]]
-                    spot = np.searchsorted(sets[at], o)
-                    common = int((sets[at][np.minimum(spot, len(sets[at]) - 1)] == o).sum())
-                    out[k] = 100 * common >= percent * (size[at] + len(o) - common)
-                return out
-
-            edges = forest(signs, side, confirm)
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in edges], pa.int64()), pa.array([ids[b] for _, b in edges], pa.int64())], ["u", "v"])
-
-    sorted_groups = whole.select("component", "__i", "__j", "__side", "node", "text").repartition("component", "__i", "__j").sortWithinPartitions("component", "__i", "__j", "node")
+        for g, starts in whole_groups(batches, ["component", "__i", "__j"], 2 * GROUP_BLOCK):
+            ids = g["node"].to_numpy()
+            sets = Sets([np.frombuffer(x, U64) for x in g["set"].to_pylist()], percent)
+            u, v = links_in_groups(starts, len(ids), sets.linked, g["__side"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], ["u", "v"])
+
+    sorted_groups = whole.select("component", "__i", "__j", "__side", "node", "set").repartition("component", "__i", "__j").sortWithinPartitions("component", "__i", "__j", "node")
     true_links = sorted_groups.mapInArrow(links, "u long, v long")
     linked = components(true_links)
     of_class = same.select("id", "rep").distinct()

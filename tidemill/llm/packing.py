@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import checkpointed, slices, text_or_empty, trim
+from tidemill.llm.common import checkpointed, ranges, slices, text_or_empty, trim
 
 SEQUENCE, SEPARATOR = 1024, 2
 #: Pieces in a block, about. Waste at a block's end is a few sequences at most.
@@ -146,7 +146,7 @@ class Encoder:
         kept = np.sort(np.argsort(-self.used[:n], kind="stable")[: self.most // 2])
         pieces, start, length, used, ids = list(self.known), self.start[kept], self.length[kept], self.used[kept] // 2, self.ids
         self.forget()
-        self._remember([pieces[k] for k in kept.tolist()], ids[_ranges(start, length)], length)
+        self._remember([pieces[k] for k in kept.tolist()], ids[ranges(start, length)], length)
         self.used[: len(kept)] = used
 
     def learn(self, new: list[bytes]) -> None:
@@ -215,7 +215,7 @@ class Encoder:
         lengths = self.length[slots]
         before = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         offsets = before[np.searchsorted(starts, np.concatenate([[0], ends]))]
-        return self.ids[_ranges(self.start[slots], lengths)], offsets
+        return self.ids[ranges(self.start[slots], lengths)], offsets
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -224,12 +224,6 @@ class Encoder:
         return [raw[4 * a : 4 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
-def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The places ``start[i]`` to ``start[i] + length[i] - 1`` for each i, one after another."""
-    ends = np.cumsum(length, dtype=np.int64)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
-
-
 _encoders: dict[str, Encoder] = {}
 
 
@@ -316,7 +310,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
             raw = memoryview(ended.tobytes())
             crc = np.fromiter((zlib.crc32(raw[x:y]) for x, y in zip(a.tolist(), (a + 4 * size).tolist(), strict=True)), np.int64, len(a))
             own = texts.indices.to_numpy(zero_copy_only=False)
-            at = _ranges(first[own], per[own])
+            at = ranges(first[own], per[own])
             columns = [np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), per[own]), at - np.repeat(first[own], per[own]), start[at], size[at], crc[at], np.arange(row, row + len(at))]
             if b.column("doc_id").null_count:
                 columns[0] = b.column("doc_id").take(pa.array(np.repeat(np.arange(len(own)), per[own])))
