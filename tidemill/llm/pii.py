@@ -13,40 +13,64 @@ from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemill.llm.common import extended, slices, without
 
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email", "secret")
-#: For tests and examples; give each corpus a secret one.
+#: Of the registered query and of tests, where ``spark.tidemill.pii.key`` is unset. Not a default of the library: who knows the key can reverse it.
 DEMO_KEY = b"not a secret"
 ROUNDS = 10
+#: Characters of a value that is moved as one number; a longer one is moved character by character, in time that grows with its length.
+MOST_AS_NUMBER = 64
 _FIRST_DAY, _LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 
 
 class Permuter:
-    """A keyed permutation of 0 to ``size - 1`` for each kind and size: a balanced Feistel network on the
-    next even number of bits, walked until the result is within the domain."""
+    """A keyed permutation of a format's values: a Feistel network with a keyed hash as its round function."""
 
     def __init__(self, key: bytes, forward: bool = True):
         self.key, self.forward = hashlib.blake2b(key, digest_size=32).digest(), forward
 
+    def _noise(self, said: bytes, n: int) -> bytes:
+        """``n`` bytes that the key and ``said`` decide; beyond one digest's 64 by counting."""
+        if n <= 64:
+            return b"" if not n else hashlib.blake2b(said, key=self.key, digest_size=n).digest()
+        seed = hashlib.blake2b(said, key=self.key, digest_size=64).digest()
+        return b"".join(hashlib.blake2b(seed + i.to_bytes(8, "big"), key=self.key, digest_size=64).digest() for i in range(-(-n // 64)))[:n]
+
     def __call__(self, value: int, size: int, kind: str) -> int:
+        """A permutation of 0 to ``size - 1`` for each kind and size, of numbers of some hundred bits at most: balanced on the next even number of
+        bits, walked until the result is within the domain."""
         if size < 2:
             return value
         half = max(1, ((size - 1).bit_length() + 1) // 2)
-        mask = (1 << half) - 1
+        mask, width = (1 << half) - 1, half // 8 + 1
         while True:
             left, right = value >> half, value & mask
             for i in range(ROUNDS) if self.forward else reversed(range(ROUNDS)):
                 said = b"%s|%d|%d|%d" % (kind.encode(), size, i, right if self.forward else left)
-                noise = int.from_bytes(hashlib.blake2b(said, key=self.key, digest_size=max(8, half // 8 + 1)).digest(), "big") & mask
+                noise = int.from_bytes(self._noise(said, max(8, width)), "big") & mask
                 left, right = (right, left ^ noise) if self.forward else (right ^ noise, left)
             value = left << half | right
             if value < size:
                 return value
 
+    def many(self, values: list[int], radices: list[int], kind: str) -> list[int]:
+        """A permutation of the sequences of numbers below their ``radices``, for each kind and radices: the halves in turn are
+        moved on by what the other half decides, each number within its radix."""
+        at = len(values) // 2
+        radix = np.array(radices, np.uint64)
+        halves, radix_of = [np.array(values[:at], np.uint64), np.array(values[at:], np.uint64)], (radix[:at], radix[at:])
+        tweak = hashlib.blake2b(b"%s|%s" % (kind.encode(), radix.tobytes()), key=self.key, digest_size=32).digest()
+        for i in range(ROUNDS) if self.forward else reversed(range(ROUNDS)):
+            moved, by = i % 2, halves[1 - i % 2]
+            noise = np.frombuffer(self._noise(b"%d|" % i + tweak + by.tobytes(), 8 * len(halves[moved])), "<u8") % radix_of[moved]
+            halves[moved] = (halves[moved] + (noise if self.forward else radix_of[moved] - noise)) % radix_of[moved]
+        return [*halves[0].tolist(), *halves[1].tolist()]
+
 
 def luhn_digit(payload: str) -> str:
     total = 0
@@ -61,24 +85,31 @@ def iban_remainder(iban: str) -> int:
 
 
 def _by_class(text: str, move: Permuter, kind: str) -> str:
-    """Digits stay digits, ASCII letters letters of their case, all else stays; the whole is one mixed-radix number.
+    """Digits stay digits, ASCII letters letters of their case, all else stays; the whole is one mixed-radix number, or a sequence of digits if it is long.
 
     Letters of either case count alike, so values that differ only in case stay linked.
     """
-    number, size = 0, 1
-    for c in text:
-        if c.isascii() and c.isalnum():
-            radix = 10 if c.isdigit() else 26
-            number, size = number * radix + (int(c) if radix == 10 else ord(c.lower()) - 97), size * radix
+    at = [i for i, c in enumerate(text) if c.isascii() and c.isalnum()]
+    radices = [10 if text[i].isdigit() else 26 for i in at]
+    values = [int(text[i]) if r == 10 else ord(text[i].lower()) - 97 for i, r in zip(at, radices, strict=True)]
     shape = "".join("0" if c.isascii() and c.isdigit() else "a" if c.isascii() and c.isalpha() else c for c in text)
-    number = move(number, size, f"{kind}:{shape}")
-    out = []
-    for c in reversed(text):
-        if c.isascii() and c.isalnum():
-            number, at = divmod(number, 10 if c.isdigit() else 26)
-            c = str(at) if c.isdigit() else chr((65 if c.isupper() else 97) + at)
-        out.append(c)
-    return "".join(reversed(out))
+    out = list(text)
+    for i, r, v in zip(at, radices, _number_moved(values, radices, move, f"{kind}:{shape}"), strict=True):
+        out[i] = str(v) if r == 10 else chr((65 if text[i].isupper() else 97) + v)
+    return "".join(out)
+
+
+def _number_moved(values: list[int], radices: list[int], move: Permuter, kind: str) -> list[int]:
+    if len(values) > MOST_AS_NUMBER:
+        return move.many(values, radices, kind)
+    number, size = 0, 1
+    for v, r in zip(values, radices, strict=True):
+        number, size = number * r + v, size * r
+    number, out = move(number, size, kind), []
+    for r in reversed(radices):
+        number, v = divmod(number, r)
+        out.append(v)
+    return out[::-1]
 
 
 def _refill(shape: str, digits: str) -> str:
@@ -170,7 +201,7 @@ def secret(m: re.Match, move: Permuter) -> str | None:
     if not (re.search(r"\d", value) and re.search(r"[A-Za-z]", value)):
         return None
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
-        new = f"{move(int(value, 16), 16 ** len(value), 'hex'):0{len(value)}x}"
+        new = "".join("0123456789abcdef"[v] for v in _number_moved([int(c, 16) for c in value], [16] * len(value), move, "hex"))
         new = new.upper() if value.upper() == value else new
     else:
         new = _by_class(value, move, "secret")
@@ -196,12 +227,16 @@ def find(text: str, move: Permuter) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of each value, in order and apart from each other."""
     has_digit = _DIGIT.search(text) is not None
     found: list[tuple[int, int, str, str]] = []
+    taken: bytearray | None = None
     for kind, (pattern, change) in RULES.items():
         if not (("@" in text) if kind == "email" else has_digit and (kind != "secret" or _MARK.search(text))):
             continue
         for m in pattern.finditer(text):
-            if not any(m.start() < e and s < m.end() for s, e, *_ in found) and (new := change(m, move)) is not None:
-                found.append((m.start(), m.end(), kind, new))
+            start, end = m.span()
+            if (taken is None or taken.find(1, start, end) < 0) and (new := change(m, move)) is not None:
+                found.append((start, end, kind, new))
+                taken = taken or bytearray(len(text))
+                taken[start:end] = b"\1" * (end - start)
     return sorted(found)
 
 
@@ -210,7 +245,7 @@ def _permuter(key: bytes, forward: bool) -> Permuter:
     return Permuter(key, forward)
 
 
-def pseudonymize_text(text: str, key: bytes = DEMO_KEY, forward: bool = True) -> tuple[str, list[tuple[int, int, str, str]]]:
+def pseudonymize_text(text: str, key: bytes, forward: bool = True) -> tuple[str, list[tuple[int, int, str, str]]]:
     spans = find(text, _permuter(key, forward))
     out, at = [], 0
     for start, end, _, new in spans:
@@ -219,15 +254,17 @@ def pseudonymize_text(text: str, key: bytes = DEMO_KEY, forward: bool = True) ->
     return "".join([*out, text[at:]]), spans
 
 
-def reveal(text: str, key: bytes = DEMO_KEY) -> str:
+def reveal(text: str, key: bytes) -> str:
     """The text before ``pseudonymize_text``, where its values are still found apart."""
     return pseudonymize_text(text, key, forward=False)[0]
 
 
-def pseudonymize(df: DataFrame, text: str = "text", key: bytes = DEMO_KEY) -> DataFrame:
+def pseudonymize(df: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """``df`` with its values in ``text`` replaced, and ``pii``: an array of (start, end, kind, pseudonym), by code points of the old text.
 
-    Null text stays null with an empty array. Whole texts are read; nothing is shuffled. The key goes to the executors with the
+    Null text stays null with an empty array, an empty one stays empty; repeated rows get the same result, an empty table gives an empty one, an older
+    ``pii`` is replaced. Values of any length are moved, texts of any length and number of values read in time that grows with them; where matches
+    overlap the earlier kind of ``RULES`` wins, then the earlier match. Nothing is shuffled. The key goes to the executors with the
     function and appears in no column.
     """
     df = without(df, "pii")
@@ -245,7 +282,8 @@ def pseudonymize(df: DataFrame, text: str = "text", key: bytes = DEMO_KEY) -> Da
     return df.mapInArrow(run, extended(df, pii=kind))
 
 
-def op4_pii(documents: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
-    """Every document's text with pseudonyms, and the number of values of each kind."""
-    out = pseudonymize(documents.select("doc_id", "text"), key=key)
+def op4_pii(documents: DataFrame, key: bytes | None = None) -> DataFrame:
+    """Every document's text with pseudonyms, and the number of values of each kind. The key is ``spark.tidemill.pii.key``, or one for show."""
+    told = documents.sparkSession.conf.get("spark.tidemill.pii.key", None)
+    out = pseudonymize(documents.select("doc_id", "text"), key or (told.encode() if told else DEMO_KEY))
     return out.selectExpr("doc_id", "text", "cast(size(pii) as bigint) n_values", *[f"cast(size(filter(pii, p -> p.kind = '{k}')) as bigint) n_{k}" for k in KINDS])
