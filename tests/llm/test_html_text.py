@@ -55,3 +55,36 @@ def test_table(spark):
     assert sorted((r.text, r.n_chars) for r in op6_html_extraction(odd).collect()) == [("", 0), ("", 0), ("x", 1)]
     assert op6_html_extraction(pages.limit(0)).count() == 0
     assert extract(odd.withColumn("Text", F.lit("old"))).columns == ["page_id", "url", "html", "text"]
+
+
+LONG = "A paragraph of running text that goes on for a while, as those of articles do, with a second sentence in it."
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<div class='content widget'><article><h1>T</h1><p>{LONG}</p><p>Short.</p></article></div><div class=box><p>Another block with some text of its own here.</p></div>", f"T\n{LONG}\nShort."),
+        (f"<article><p>{LONG}</p><section id='related-work'><h2>Related work</h2><p>{LONG}</p></section></article>", f"{LONG}\nRelated work\n{LONG}"),
+        (f"<article><p>{LONG}</p><div class='related'><ul><li><a href=1>One more</a><li><a href=2>And another</a></ul></div></article>", LONG),
+        (f"<article><p>See <a href=a>{LONG}</a> and more.</p><p><a href=b>{LONG}</a> said so too, at length.</p></article><div id='ad-300x250'><p>{LONG}</p></div>", f"See {LONG} and more.\n{LONG} said so too, at length."),
+        (f"<div><h1>T</h1><p>{LONG}</p><p>{LONG}</p><p>Short one.</p></div><div><a href=a>Home</a> <a href=b>News</a></div><div>All rights reserved</div>", f"T\n{LONG}\n{LONG}\nShort one."),
+        (f"<div class='has-sidebar'><section><p>{LONG}</p></section><section><p>Short section.</p><p>{LONG}</p></section></div><div class='comment-list'><article><p>{LONG}</p></article></div>", f"{LONG}\nShort section.\n{LONG}"),
+        (f"<div class='search results'><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
+    ],
+)
+def test_marks_are_weights(body, text):
+    assert main_text(PAGE.format(body)) == text
+
+
+def test_clusters_decide_where_nothing_is_marked(spark):
+    """The tables' pages with their marks taken out: exact pages, and the mean F1 of lines, with and without the clusters."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    bare = lambda h: re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", h).replace(' class="ad"', "")
+
+    def quality(**options):
+        pairs = [(set(main_text(bare(r.html), **options).split("\n")), set(expected(r.html).split("\n"))) for r in rows]
+        return sum(a == b for a, b in pairs) / len(pairs), sum(2 * len(a & b) / (len(a) + len(b)) for a, b in pairs) / len(pairs)
+
+    with_clusters, without_ = quality(), quality(clusters=False)
+    assert with_clusters[0] > 0.74 and with_clusters[1] > 0.93 and without_[0] < with_clusters[0] - 0.08 and without_[1] < with_clusters[1]
+    assert sum(main_text(r.html) == expected(r.html) for r in rows) == len(rows) > sum(main_text(r.html, marks=False) == expected(r.html) for r in rows)

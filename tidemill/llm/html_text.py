@@ -1,9 +1,10 @@
 """Main text of web pages from parser events and text-to-tag ratios.
 
-The standard library's parser streams events; text between block boundaries is a line, with its ratio of text to tags. The ratios
-are smoothed with a Gaussian and split in two clusters. The lines of the upper one weigh the page's elements, and the
-content region is the ``article`` or ``main`` with most weight, or else the smallest element with nearly all of it.
-Whatever a region holds that is not marked as something else (menus, adverts, forms, comments and so on) is its text.
+The standard library's parser streams events; text between block boundaries is a line, with its ratio of text outside links to tags. Tags and
+words of class, id or role weigh the line: nothing in a menu, an advert or a comment, a part where they only hint at such, or stands beside an article. The weighted ratios
+are smoothed with a Gaussian and split in two clusters. The upper cluster chooses the content region: the smallest element that
+holds nearly all of its text, or the ``article`` or ``main`` round it. Of a region, lines of no weight go, as do lines all of links, or of little
+weight, that aren't in the upper cluster; all others are its text.
 """
 
 from __future__ import annotations
@@ -18,23 +19,32 @@ from pyspark.sql import DataFrame
 
 from tidemill.llm.common import extended, slices, without
 
-#: Elements that are never main text.
-SKIPPED = frozenset("head title script style noscript template svg math canvas nav header footer aside form fieldset button select option textarea label iframe object audio video dialog menu".split())
+#: Elements whose text nobody reads on the page, or only as a control's.
+SKIPPED = frozenset("head title script style noscript template svg math canvas button select option textarea label iframe object audio video datalist".split())
+#: Elements that are never main text but are lines of the page.
+BOILER = frozenset("nav header footer aside form fieldset dialog menu".split())
 #: Elements that begin and end a line.
 BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address center hr details summary hgroup search".split()
-) | (SKIPPED - {"button", "label", "option", "select", "textarea", "audio", "video", "object", "svg", "math", "canvas"})
+) | BOILER | frozenset("head title script style noscript template iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Opening one of these ends an open element of the same group, as HTML implies.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: What an implied end doesn't reach beyond.
 SCOPES = frozenset("ul ol dl table".split())
-#: Words of class, id or role that mark an element as other than main text.
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices "
-    "pager pagination popup promo promotion related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+#: Words of class or id that mark an element as other than main text, and those that only hint at it.
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices "
+    "pager pagination popup promo promotion replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar".split()
 )
+WEAK = frozenset("header related search widget".split())
+#: Words beside them that say nothing, that say the opposite, and that say main text.
+PLAIN = frozenset("area bar block body bottom box col column container content form global group inner item items left link links list main module outer page panel primary right row secondary section site slot text title top unit wrap wrapper".split())
+NEGATED = frozenset("has hide no show with without".split())
+MAIN = frozenset("article body content entry main post story".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: What a line is worth in an element that is hinted at.
+HINTED = 0.3
 _WORDS = re.compile(r"[a-z0-9]+")
 #: A tag that the page's end cuts off.
 _CUT = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
@@ -42,11 +52,12 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Lines(HTMLParser):
-    """Lines of a page as (text, tags, link characters, element); ``parents`` and ``tags`` describe the elements."""
+    """Lines of a page as (text, tags, link characters, element); ``parents``, ``names`` and ``worth`` describe the elements."""
 
-    def __init__(self) -> None:
+    def __init__(self, marks: bool = True) -> None:
         super().__init__(convert_charrefs=True)
-        self.parents, self.names = [-1], ["#page"]
+        self.marks = marks
+        self.parents, self.names, self.worth = [-1], ["#page"], [1.0]
         self.open: list[tuple[str, int, bool]] = [("#page", 0, False)]  # name, element, skipped
         self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
@@ -86,26 +97,52 @@ class Lines(HTMLParser):
             if tag in BLOCKS and not self.open[-1][2]:
                 self.end_line()
             return
-        marked = tag in SKIPPED or self.marked(tag, attrs)
-        if not (marked or tag in BLOCKS):
+        skipped = tag in SKIPPED or self.hidden(tag, attrs)
+        worth = self.worth_of(tag, attrs) if self.marks else 1.0
+        if not (skipped or tag in BLOCKS or worth < 1):
             return
         if not self.open[-1][2]:
             self.end_line()
-        self.parents.append(self.open[-1][1])
-        self.names.append("main" if any(k == "role" and v == "main" for k, v in attrs) else tag)
-        self.open.append((tag, len(self.names) - 1, marked or self.open[-1][2]))
+        above = self.open[-1][1]
+        own = tag in ("article", "main") or any(k == "role" and v == "main" for k, v in attrs)
+        if tag == "header" and self.marks and self.in_own(above):
+            worth = HINTED
+        self.parents.append(above)
+        self.names.append("main" if own and tag != "article" else tag)
+        # An article within what is only hinted at is an article all the same.
+        self.worth.append(worth if own and self.worth[above] > 0 else min(worth, self.worth[above]))
+        self.open.append((tag, len(self.names) - 1, skipped or self.open[-1][2]))
+
+    def in_own(self, element: int) -> bool:
+        while element > 0:
+            if self.names[element] in ("article", "main"):
+                return True
+            element = self.parents[element]
+        return False
 
     @staticmethod
-    def marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def hidden(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        return tag not in ("html", "body") and any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and _HIDDEN.search(v or "")) for k, v in attrs)
+
+    @staticmethod
+    def worth_of(tag: str, attrs: list[tuple[str, str | None]]) -> float:
+        """1, 0 for an element marked as other than main text, or ``HINTED``."""
+        if tag in ("html", "body"):
+            return 1.0
+        worth, mains = 0.0 if tag in BOILER else 1.0, False
         for name, value in attrs:
             value = (value or "").lower()
-            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)) or (name == "role" and value in ROLES):
-                return tag not in ("html", "body")
-            if name in ("class", "id"):
-                words = set(_WORDS.findall(value))
-                if words & MARKS and tag not in ("html", "body", "main") and (tag != "article" or words & {"comment", "comments"}):
-                    return True
-        return False
+            if name == "role" and value in ROLES:
+                return 0.0
+            if name not in ("class", "id"):
+                continue
+            for token in value.split():
+                words = _WORDS.findall(token)
+                mains |= bool(words) and MAIN.issuperset(words)
+                if NEGATED.isdisjoint(words) and not (STRONG.isdisjoint(words) and WEAK.isdisjoint(words)):
+                    unknown = any(w not in STRONG and w not in WEAK and w not in PLAIN and not w[0].isdigit() for w in words)
+                    worth = min(worth, HINTED if unknown or STRONG.isdisjoint(words) else 0.0)
+        return 1.0 if mains and worth == HINTED else worth
 
     def handle_endtag(self, tag: str) -> None:
         self.n_tags += 1
@@ -148,53 +185,73 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def content_lines(lines: list[tuple[str, int, int, int]], parents: list[int], names: list[str], share: float = 0.9) -> list[bool]:
-    """Whether each line is in the content region."""
+def content_lines(page: Lines, share: float = 0.9, clusters: bool = True) -> list[bool]:
+    """Whether each line is main text. Without ``clusters`` every line counts as one of the upper cluster."""
+    lines, parents, names = page.lines, page.parents, page.names
     if not lines:
         return []
-    length = np.array([len(t) for t, *_ in lines], float)
-    ratio = smoothed(np.log1p(length / np.array([max(1, n) for _, n, *_ in lines])))
-    upper = ratio >= threshold(ratio)
+    at = np.array([e for *_, e in lines])
+    worth = np.array(page.worth)
+    if page.marks:  # where there is an article, the rest of the page is hinted at
+        own = np.zeros(len(parents), bool)
+        for i in range(1, len(parents)):
+            own[i] = own[parents[i]] or (names[i] in ("article", "main") and worth[i] >= 1)
+        if own[at].any():
+            worth = np.where(own, worth, np.minimum(worth, HINTED))
+    worth = worth[at]
+    length, links = np.array([len(t) for t, *_ in lines], float), np.array([n for _, _, n, _ in lines], float)
+    ratio = smoothed(np.log1p(worth * np.maximum(length - links, 0) / np.array([max(1, n) for _, n, *_ in lines])))
+    upper = (ratio >= threshold(ratio)) & (worth > 0) if clusters else worth > 0
+    if not upper.any():
+        upper = worth > 0
     weight, count = np.zeros(len(parents)), np.zeros(len(parents), int)
-    for (_, _, links, element), w, up in zip(lines, length, upper, strict=True):
-        weight[element] += (w - links) * up
-        count[element] += 1
+    np.add.at(weight, at, worth * np.maximum(length - links, 0) * upper)
+    np.add.at(count, at, 1)
+    children: list[list[int]] = [[] for _ in parents]
     for i in range(len(parents) - 1, 0, -1):  # an element's number is above its parent's
         weight[parents[i]] += weight[i]
         count[parents[i]] += count[i]
-    own = [i for i, n in enumerate(names) if n in ("article", "main") and count[i]]
+        children[parents[i]].append(i)
+    region = 0
+    while weight[0] > 0 and (into := [i for i in children[region] if weight[i] >= share * weight[0] and count[i]]):
+        region = into[0]
+    own, e = region, region
+    while e > 0:  # the outermost article round it, or else the outermost main
+        if names[e] == "article" or (names[e] == "main" and names[own] != "article"):
+            own = e
+        e = parents[e]
+    if names[own] in ("article", "main"):
+        region = own
+    else:  # no paragraph alone is a region
+        while region > 0 and names[region] not in ("div", "section", "body", "table", "td", "html"):
+            region = parents[region]
     inside = np.zeros(len(parents), bool)
-    semantic = bool(own)
-    if semantic:
-        best = max(own, key=lambda i: (weight[i], names[i] == "article", -i))
-        # A main that holds the best article gives way to it and to articles beside it of the same weight class.
-        articles = [i for i in own if names[i] == "article" and weight[i] >= 0.5 * weight[best]]
-        chosen = set(articles) or {best}
-    else:
-        at = 0
-        while True:
-            children = [i for i in range(at + 1, len(parents)) if parents[i] == at and weight[i] >= share * weight[0] and count[i] > 1 and weight[0] > 0]
-            if not children:
-                break
-            at = children[0]
-        chosen = {at}
     for i in range(len(parents)):
-        inside[i] = i in chosen or (i > 0 and inside[parents[i]])
-    # Outside article and main, a line that is mostly links is a menu that nothing marks as one.
-    return [bool(inside[e]) and (semantic or links <= 0.5 * max(1, len(t))) for t, _, links, e in lines]
+        inside[i] = i == region or (i > 0 and inside[parents[i]])
+    kept, linked = worth >= 1, links >= 0.8 * length
+    if clusters:
+        kept = np.where(linked, kept & upper, kept | (upper & (worth > 0)))
+    else:
+        kept &= ~linked
+    return (inside[at] & kept).tolist()
 
 
-def main_text(html: str | None) -> str:
-    page = Lines()
+def main_text(html: str | None, marks: bool = True, clusters: bool = True) -> str:
+    """The main text of a page. ``marks`` and ``clusters`` leave a part of the method out, to see what it does."""
+    page = Lines(marks)
     page.feed(_CUT.sub("", html or ""))
     page.close()
     if not page.open[-1][2]:
         page.end_line()
-    return "\n".join(line[0] for line, ok in zip(page.lines, content_lines(page.lines, page.parents, page.names), strict=True) if ok)
+    return "\n".join(line[0] for line, ok in zip(page.lines, content_lines(page, clusters=clusters), strict=True) if ok)
 
 
 def extract(df: DataFrame, html: str = "html") -> DataFrame:
-    """``df`` with ``text``, the main text of each whole page; a null or textless page gives an empty text. No shuffle."""
+    """``df`` with ``text``, the main text of each whole page.
+
+    A null or empty page, or one without text, gives an empty text. Pages of any length are read whole, a tag that the end cuts off is no text; repeated
+    rows give the same text each, an empty table an empty one, and an older ``text`` column is replaced. Nothing is shuffled.
+    """
     df = without(df, "text")
     names, at = df.columns, df.columns.index(html)
 
