@@ -1,9 +1,9 @@
 """The index with the settings it ships with, against brute force."""
 
-from tidemill.plans.vectors import recall
+from tidemill.plans import registry, vectors
 
 
 def test_default_recall(spark):
-    queries, reached = recall(spark, "/root/testdata/sf0.1")
+    queries, reached = vectors.recall(spark, "/root/testdata/sf0.1")
     print(f"recall {reached} of {queries} queries")
-    assert queries == 40 and reached >= 0.9
+    assert queries == 40 and reached >= 0.9 and "knn_ann_recall" in registry.QUERIES

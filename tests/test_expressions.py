@@ -66,12 +66,3 @@ def test_vectors(plain, spark):
         _ = plain.query("SELECT embedding <-> [1, 0] FROM items").rows
 
 
-def test_ann_recall(spark):
-    from tidemill.functions.ann import build_index
-
-    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    index = build_index(df, "vec_id", "embedding", "cosine", cells=16)
-    index.rows = index.rows.cache()
-    vectors = {r[0]: list(r[1]) for r in df.where("vec_id % 50 = 0").select("vec_id", "embedding").collect()}
-    hits = sum(len({r[0] for r in index.search(q, 10, probes=10).collect()} & {r[0] for r in index.search(q, 10, probes=16).collect()}) for q in list(vectors.values())[:5])
-    assert hits >= 0.9 * 50

@@ -25,6 +25,10 @@ class ConflictError(EngineError):
     sqlstate = "40001"
 
 
+class BusyError(ConflictError):
+    """A version that can't be written, however often it is tried."""
+
+
 class TransactionError(EngineError):
     """A statement that the state of the transaction doesn't allow."""
 

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 OPERATORS = {"<->": "l2", "<=>": "cosine", "<#>": "ip"}
 
 
@@ -34,3 +41,71 @@ def literal(values: list[float]) -> str:
 
 def from_text(text: str) -> str:
     return f"from_json({text}, 'array<float>')"
+
+
+#: Queries that go through a table together.
+BLOCK = 1024
+
+
+def _distances(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """(rows, queries) in double precision; l2 by differences, so that equal vectors are at 0."""
+    if metric == "l2":
+        return np.sqrt(np.stack([((x - v) ** 2).sum(axis=1) for v in q], axis=1))
+    product = x @ q.T
+    if metric == "ip":
+        return -product
+    norm = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
+    return np.where(norm > 0, 1 - product / np.where(norm > 0, norm, 1), 1.0)
+
+
+def nearest_of(df: DataFrame, queries: list[tuple[Any, list[float]]], key: str, column: str, k: int = 10, metric: str = "l2", within: float | None = None) -> DataFrame:
+    """(query, key, distance): for each of ``queries`` (id, vector) the ``k`` nearest rows of ``df``, ties by key; or all rows nearer than ``within``.
+
+    Queries go through the table in blocks. A task keeps at most ``k`` rows of its own for each query, and those meet by query; so what is
+    shuffled doesn't grow with the table but with its tasks. Rows without a vector are left out, vectors of another size are an error.
+    """
+    if metric not in OPERATORS.values():
+        raise ValueError(f"unknown metric {metric!r}")
+    id_type, key_type = ("long" if not queries or isinstance(queries[0][0], int) else "string"), df.schema[key].dataType.simpleString()
+    rows = df.where(F.col(column).isNotNull()).select(F.col(key).alias("key"), F.col(column).alias("v"))
+    out = None
+    for at in range(0, max(1, len(queries)), BLOCK):
+        part = queries[at : at + BLOCK]
+        ids, q = [i for i, _ in part], np.array([v for _, v in part], float).reshape(len(part), -1 if part else 0)
+
+        def run(batches: Iterator, ids=ids, q=q) -> Iterator:
+            import pyarrow as pa
+
+            best: list[tuple] = [(np.zeros(0), []) for _ in ids]
+            for b in batches:
+                if not b.num_rows or not ids:
+                    continue
+                flat, lengths = b.column("v").flatten().to_numpy(zero_copy_only=False), np.diff(b.column("v").offsets.to_numpy())
+                if (lengths != q.shape[1]).any():
+                    raise ValueError("vectors of different sizes")
+                d, keys = _distances(metric, flat.reshape(b.num_rows, -1).astype(float), q), b.column("key").to_pylist()
+                for j in range(len(ids)):
+                    if within is not None:
+                        own = np.flatnonzero(d[:, j] < within)
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[j]] * len(own), rows_type(id_type)), pa.array([keys[i] for i in own], b.column("key").type), pa.array(d[own, j])], ["query", "key", "distance"])
+                        continue
+                    far, held = best[j]
+                    cut = np.partition(d[:, j], k - 1)[k - 1] if len(keys) > k else np.inf
+                    own = np.flatnonzero(d[:, j] <= min(cut, far[-1] if len(far) >= k else np.inf))
+                    merged = sorted([*zip(far.tolist(), held, strict=True), *((float(d[i, j]), keys[i]) for i in own)], key=lambda x: (x[0], x[1]))[:k]
+                    best[j] = (np.array([x for x, _ in merged]), [y for _, y in merged])
+            for i, (far, held) in zip(ids, best, strict=True):
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(held), rows_type(id_type)), pa.array(held), pa.array(far)], ["query", "key", "distance"])
+
+        found = rows.mapInArrow(run, f"query {id_type}, key {key_type}, distance double")
+        out = found if out is None else out.unionByName(found)
+    if within is None:
+        out = out.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))).where(F.col("r") <= k).drop("r")
+    return out.withColumnRenamed("key", key)
+
+
+def rows_type(kind: str):
+    import pyarrow as pa
+
+    return pa.int64() if kind == "long" else pa.string()

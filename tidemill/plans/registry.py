@@ -51,9 +51,9 @@ def plan(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | No
 
 
 def _load() -> None:
-    from tidemill.plans import extensions, functions, relational, storage, vectors
+    from tidemill.plans import extensions, functions, relational, statements, storage, vectors
 
-    for module in (relational, functions, vectors, storage, extensions):
+    for module in (relational, functions, vectors, storage, statements, extensions):
         module.register()
 
 

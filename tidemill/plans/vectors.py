@@ -2,33 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions.vectors import nearest_of
 from tidemill.plans.registry import connect, dialect, plan
 
 
+def _queries(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[float]]]:
+    """Every row whose id is divisible by 50."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id", "embedding").collect()
+    return [(r[0], [float(x) for x in r[1]]) for r in rows]
+
+
 def _query(spark: SparkSession, sf_dir: str) -> list[float]:
-    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id = 0").select("embedding")
-    return [float(x) for x in df.first()[0]]
+    return next(v for i, v in _queries(spark, sf_dir) if i == 0)
 
 
-def _knn(operator: str, where: str = "", k: int = 10):
+def _knn(metric: str, where: str = "true", k: int = 10):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = connect(spark, sf_dir, "embeddings")
-        ranked = f"SELECT vec_id, embedding {operator} $1 AS d FROM embeddings {where} ORDER BY d, vec_id LIMIT {k}"
-        return c.sql(f"SELECT t.vec_id, round(t.d, 3) AS d FROM ({ranked}) t", [_query(spark, sf_dir)])
+        rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(where)
+        return nearest_of(rows, _queries(spark, sf_dir), "vec_id", "embedding", k, metric).select(F.col("query").alias("q"), "vec_id", F.round("distance", 3).alias("d"))
 
     return run
 
 
-def _sql(term: str, where: str = "", k: int = 10) -> str:
+def _one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query in the dialect."""
+    ranked = "SELECT vec_id, embedding <-> $1 AS d FROM embeddings ORDER BY d, vec_id LIMIT 10"
+    return connect(spark, sf_dir, "embeddings").sql(f"SELECT t.vec_id, round(t.d, 3) AS d FROM ({ranked}) t", [_query(spark, sf_dir)])
+
+
+def _distance(term: str) -> str:
     parts = "list_zip(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(q.v, lambda x: x::DOUBLE))"
     dot = f"list_sum(list_transform({parts}, lambda p: p[1] * p[2]))"
     l2 = f"sqrt(list_sum(list_transform({parts}, lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
     norms = "sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.v, lambda x: x::DOUBLE * x::DOUBLE)))"
-    d = {"l2": l2, "ip": f"-({dot})", "cosine": f"1 - {dot} / ({norms})"}[term]
-    return f"SELECT vec_id, round(d, 3) AS d FROM (SELECT e.vec_id, {d} AS d FROM embeddings e, (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) q {where} ORDER BY d, e.vec_id LIMIT {k})"
+    return {"l2": l2, "ip": f"-({dot})", "cosine": f"1 - {dot} / ({norms})"}[term]
+
+
+def _sql(term: str, where: str = "", k: int = 10) -> str:
+    asked = "(SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0) q"
+    return f"SELECT q, vec_id, round(d, 3) AS d FROM (SELECT q.id AS q, e.vec_id, {_distance(term)} AS d FROM embeddings e, {asked} {where}) QUALIFY row_number() OVER (PARTITION BY q ORDER BY d, vec_id) <= {k}"
+
+
+def _sql_one() -> str:
+    return f"SELECT vec_id, round(d, 3) AS d FROM (SELECT e.vec_id, {_distance('l2')} AS d FROM embeddings e, (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) q ORDER BY d, e.vec_id LIMIT 10)"
+
+
+def _join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest_of(rows, _queries(spark, sf_dir), "vec_id", "embedding", within=1.2).select(F.col("query").alias("q"), "vec_id")
 
 
 def _within(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,16 +71,12 @@ def recall(spark: SparkSession, sf_dir: str, metric: str = "l2", k: int = 10) ->
     from functools import reduce
 
     from tidemill.functions.ann import build_index
-    from tidemill.functions.vectors import distance
 
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     queries = df.where("vec_id % 50 = 0").select("vec_id", "embedding").collect()
     index = build_index(df, "vec_id", "embedding", metric)
-    index.rows = index.rows.localCheckpoint()
     found = reduce(DataFrame.unionByName, [index.search([float(x) for x in v], k).select("vec_id").withColumn("q", F.lit(q)) for q, v in queries])
-    asked = df.where("vec_id % 50 = 0").selectExpr("vec_id AS q", "embedding AS v")
-    pairs = asked.crossJoin(df.select("vec_id", "embedding")).withColumn("d", F.expr(distance(metric, "embedding", "v")))
-    true = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))).where(F.col("r") <= k).select("q", "vec_id")
+    true = nearest_of(df, _queries(spark, sf_dir), "vec_id", "embedding", k, metric).select(F.col("query").alias("q"), "vec_id")
     total, hit = true.count(), true.join(found, ["q", "vec_id"]).count()
     return len(queries), hit / total if total else 1.0
 
@@ -67,11 +87,13 @@ def _ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register() -> None:
-    plan("knn_l2", _knn("<->"), _sql("l2"))
-    plan("knn_cosine", _knn("<=>"), _sql("cosine"))
-    plan("knn_ip", _knn("<#>"), _sql("ip"))
-    plan("knn_filtered", _knn("<->", "WHERE label = 3", 5), _sql("l2", "WHERE label = 3", 5))
-    plan("knn_ann_all_cells", _ann, _sql("l2"))
+    plan("knn_l2", _knn("l2"), _sql("l2"))
+    plan("knn_cosine", _knn("cosine"), _sql("cosine"))
+    plan("knn_ip", _knn("ip"), _sql("ip"))
+    plan("knn_filtered", _knn("l2", "label = 3", 5), _sql("l2", "WHERE label = 3", 5))
+    plan("knn_dialect", _one, _sql_one())
+    plan("knn_ann_all_cells", _ann, _sql_one())
     plan("knn_ann_recall", _ann_recall, "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
+    plan("vec_distance_join", _join, "SELECT q.id AS q, e.vec_id FROM embeddings e, (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0) q WHERE list_distance(e.embedding, q.v) < 1.2")
     plan("vec_distance_filter", _within, "SELECT e.vec_id FROM embeddings e, (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) q WHERE list_distance(e.embedding, q.v) < 1.2")
     dialect("vec_literal", "SELECT round([1, 2, 3] <-> '[1,2,5]', 6) AS l2, round([1, 0] <=> [0, 2], 6) AS cosine, [1, 2] <#> [3, 4] AS ip, [0, 0] <=> [1, 1] AS zero", "SELECT 2.0::DOUBLE AS l2, 1.0::DOUBLE AS cosine, -11.0::DOUBLE AS ip, 1.0::DOUBLE AS zero")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -14,7 +15,7 @@ STALE_SECONDS = 60
 
 
 class Files:
-    """``create`` is exclusive where the file system makes it so (local files, HDFS): the base of compare-and-swap."""
+    """``create`` is exclusive where the file system makes it so (links of local files, HDFS): the base of compare-and-swap."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -46,24 +47,53 @@ class Files:
         stream.write(bytearray(text.encode()))
         stream.close()
         try:
-            claim = self.jvm.org.apache.hadoop.fs.Path(f"{path}.claim")
-            if fs.exists(p) or not self._claim(fs, claim):
-                raise ConflictError(f"{path} was written by another commit")
-            if not fs.rename(aside, p):
+            if not (self._linked(fs, aside, p) if p.toUri().getScheme() in (None, "file") else self._claimed(fs, aside, p)):
                 raise ConflictError(f"{path} was written by another commit")
         finally:
             if fs.exists(aside):
                 fs.delete(aside, False)
 
-    def _claim(self, fs, claim) -> bool:
+    def _linked(self, fs, aside, p) -> bool:
+        """A local file gets its name by a hard link, which fails where the name is taken."""
+        paths = [self.jvm.java.io.File(x.toUri().getPath()).toPath() for x in (p, aside)]
+        try:
+            self.jvm.java.nio.file.Files.createLink(*paths)
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            return self._claimed(fs, aside, p)  # a file system without links
+
+    def _claimed(self, fs, aside, p) -> bool:
+        """Elsewhere a name is claimed first. Who writes must still own the claim, and renaming (on HDFS) doesn't replace."""
+        claim, owner = self.jvm.org.apache.hadoop.fs.Path(f"{p.toString()}.claim"), uuid.uuid4().hex
+        return not fs.exists(p) and self._claim(fs, claim, owner) and self._owner(fs, claim) == owner and not fs.exists(p) and fs.rename(aside, p)
+
+    def _owner(self, fs, claim) -> str:
+        try:
+            return self.read(claim.toString())
+        except Py4JJavaError:
+            return ""
+
+    def _claim(self, fs, claim, owner: str) -> bool:
         """Claim a name. A claim whose writer died before it wrote is taken over when it is old."""
-        if fs.createNewFile(claim):
+
+        def make() -> bool:
+            try:
+                stream = fs.create(claim, False)
+                stream.write(bytearray(owner.encode()))
+                stream.close()
+                return True
+            except Py4JJavaError:
+                return False
+
+        if make():
             return True
         try:
             old = time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 > STALE_SECONDS
         except Py4JJavaError:
             return False
-        return old and fs.delete(claim, False) and fs.createNewFile(claim)
+        return old and fs.delete(claim, False) and make()
 
     def names(self, path: str) -> list[str]:
         p, fs = self._at(path)

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tidemill.errors import MisuseError
 from tidemill.store.connection import Connection, Database
 
 
-def read_events(spark: SparkSession, path: str, schema: StructType | str, time: str = "ts", lateness: str = "10 minutes") -> DataFrame:
+def read_events(spark: SparkSession, path: str, schema: StructType | str, time: str = "ts", lateness: str = "10 minutes", files_per_batch: int | None = None) -> DataFrame:
     """A stream of the Parquet files that appear in ``path``; rows later than ``lateness`` behind the latest may be dropped."""
-    df = spark.readStream.schema(schema).parquet(path)
+    reader = spark.readStream.schema(schema)
+    df = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
     return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
 
 
@@ -37,8 +39,10 @@ def run_available(df: DataFrame, checkpoint: str, target: str, mode: str = "appe
 
 
 def upsert_stream(events: DataFrame, connection: Connection, table: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is an INSERT OR REPLACE into ``table`` by its key, so a batch that runs again changes nothing."""
+    """Each micro-batch is an INSERT OR REPLACE into ``table`` by its key, so a batch that runs again changes nothing. A table without a key is refused."""
     columns = events.columns
+    if not connection.manifest.table(table).key:
+        raise MisuseError(f"{table} has no key to upsert by")
 
     def write(batch: DataFrame, _: int) -> None:
         # A micro-batch lives in a session of its own, which the statement has to run in.
