@@ -1,14 +1,14 @@
-"""Snapshots of tables as Parquet or CSV: written aside, then published by one rename."""
+"""Snapshots of tables as Parquet or CSV: each in a folder of its own, published by a small file that names it."""
 
 from __future__ import annotations
 
 import re
 import threading
+import time
 import uuid
 from collections.abc import Callable, Sequence
 
-from tidemill.errors import MisuseError
-from tidemill.sources.scratch import scratch
+from tidemill.errors import MisuseError, StorageError
 from tidemill.store.connection import Connection, Database
 from tidemill.store.files import Files
 
@@ -21,10 +21,14 @@ def _checked(name: str) -> str:
     return name
 
 
-def materialize(connection: Connection, table: str, folder: str, columns: Sequence[str] = (), format: str = "parquet") -> str:
-    """Write ``table`` (some columns or all) to ``<folder>/<table>.<format>``, replacing what was there, and give that path.
+_CURRENT = "_current"
 
-    Readers see the old snapshot or the new one. CSV has a header, empty text for null, and quotes where needed. All rows are written by
+
+def materialize(connection: Connection, table: str, folder: str, columns: Sequence[str] = (), format: str = "parquet", keep: int = 2) -> str:
+    """Write ``table`` (some columns or all) as a new folder in ``<folder>/<table>.<format>`` and give its path, which ``snapshot`` then finds.
+
+    Readers see the old snapshot or the new one, also if the writer dies: what is named is whole, and changes its name in one step. The last ``keep``
+    folders stay for readers that are at it. CSV has a header, empty text for null, and quotes where needed. All rows are written by
     all executors: the path is a folder of part files.
     """
     if format not in ("parquet", "csv"):
@@ -32,24 +36,24 @@ def materialize(connection: Connection, table: str, folder: str, columns: Sequen
     wanted = ", ".join(f'"{_checked(c)}"' for c in columns) or "*"
     df = connection.sql(f'SELECT {wanted} FROM "{_checked(table)}"')
     files = Files(connection.spark)
-    target = f"{folder.rstrip('/')}/{table}.{format}"
-    staging = f"{folder.rstrip('/')}/.{table}-{uuid.uuid4().hex}"
-    try:
-        if format == "csv":
-            df.write.csv(staging, header=True, nullValue="", emptyValue="", quote='"', escape='"')
-        else:
-            df.write.parquet(staging)
-        old = None
-        if files.exists(target):
-            old = f"{folder.rstrip('/')}/.{table}-{uuid.uuid4().hex}"
-            files.rename(target, old)
-        files.rename(staging, target)
-        if old:
-            files.delete(old)
-    finally:
-        if files.exists(staging):
-            files.delete(staging)
-    return target
+    top = f"{folder.rstrip('/')}/{table}.{format}"
+    name = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    if format == "csv":
+        df.write.csv(f"{top}/{name}", header=True, nullValue="", emptyValue="", quote='"', escape='"')
+    else:
+        df.write.parquet(f"{top}/{name}")
+    files.replace(f"{top}/{_CURRENT}", name)
+    for old in [n for n in files.names(top) if n[:20].isdigit() and n < name][: -(keep - 1) or None]:
+        files.delete(f"{top}/{old}")
+    return f"{top}/{name}"
+
+
+def snapshot(connection: Connection, table: str, folder: str, format: str = "parquet") -> str:
+    """The path of the last snapshot that was published."""
+    files, top = Files(connection.spark), f"{folder.rstrip('/')}/{_checked(table)}.{format}"
+    if not files.exists(f"{top}/{_CURRENT}"):
+        raise StorageError(f"no snapshot of {table} in {folder}")
+    return f"{top}/{files.read(f'{top}/{_CURRENT}')}"
 
 
 class Materializer:
@@ -91,4 +95,4 @@ class Materializer:
             self._thread = None
 
 
-__all__ = ["Materializer", "materialize", "scratch"]
+__all__ = ["Materializer", "materialize", "snapshot"]

@@ -95,6 +95,18 @@ class Files:
             return False
         return old and fs.delete(claim, False) and make()
 
+    def replace(self, path: str, text: str) -> None:
+        """Write a file whose name always has the old content or the new one."""
+        p, fs = self._at(path)
+        aside = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+        stream = fs.create(aside, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf).rename(fs.makeQualified(aside), fs.makeQualified(p), options)
+
     def names(self, path: str) -> list[str]:
         p, fs = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
