@@ -41,6 +41,15 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def duck(folder="/root/testdata/sf0.001"):
+    """A DuckDB connection whose view is the table."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    return con
+
+
 @pytest.fixture(scope="session")
 def docs(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

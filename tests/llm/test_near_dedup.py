@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tests.llm.conftest import SCHEMA, words
+from tests.llm.conftest import SCHEMA, duck, words
 from tidemill.llm.common import WORD
 from tidemill.llm import near_dedup as nd
 from tidemill.llm.graph import components
@@ -113,6 +113,22 @@ def test_documents(docs):
     check(docs)
 
 
+def test_sql_gives_the_same(docs):
+    want = duck().execute(nd.OP10_SQL).fetchall()
+    assert sorted(tuple(r) for r in nd.op10_near_dedup(docs).select("doc_id", "n_shingles", "component_id", "kept").collect()) == sorted(want)
+
+
+def test_no_link_is_lost_in_a_group():
+    """Texts of one candidate group are judged by their full sets, however far their signatures are."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 900, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[k : 900 - 40 * (k % 3)], rng.integers(0, 2**64, 60 + k, dtype=np.uint64)])) for k in range(0, 120, 3)] + [np.zeros(0, np.uint64), base[:1], base[:1]]
+    u, v = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    got = nd.Sets(sets, 80).linked(u, v)
+    want = [len(b := set(sets[j].tolist())) > 0 and 100 * len(a & b) >= 80 * len(a | b) > 0 for i, j in zip(u, v, strict=True) for a in [set(sets[i].tolist())]]
+    assert got.tolist() == want and any(want) and not all(want)
+
+
 def test_odd_rows(odd, empty):
     got = {r.doc_id: r for r in check(odd) if r.doc_id not in (None, 8)}
     assert got[5].component_id == got[6].component_id == got[7].component_id == 5 and not got[7].kept

@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline as cp
 from tests.llm.conftest import SCHEMA
+from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_near_dedup import brute
 from tests.llm.test_packing import check as check_packing
 from tidemill.llm.packing import tokenizer_file
@@ -38,6 +39,15 @@ def test_rejected_documents_go(spark, stages):
     assert {r.doc_id for r in stages[1].collect()} == kept and 0 < len(kept) < stages[0].count()
 
 
+def test_recurring_lines_go(stages):
+    old = {r.doc_id: r.text for r in stages[1].collect()}
+    want = brute_lines(list(old.values()))
+    left = {d: t if t not in want else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in set(want[t])) for d, t in old.items()}
+    got = {r.doc_id: r for r in stages[2].collect()}
+    assert {d: r.text for d, r in got.items()} == {d: t for d, t in left.items() if t == old[d] or re.search(r"[^\x20\x09-\x0D]", t)}
+    assert want and all(r.n_chars == len(r.text) for r in got.values() if r.text != old[r.doc_id])
+
+
 def test_one_of_each_group_stays(stages):
     u = brute([(r.doc_id, r.text) for r in stages[2].collect()], 5)
     assert {r.doc_id for r in stages[3].collect()} == {u.find(x) for x in u.up}

@@ -12,7 +12,7 @@ from tidemill.llm.html_text import op6_html_extraction
 from tidemill.llm.line_dedup import op9_line_dedup
 from tidemill.llm.lm_scoring import OP1_SQL, op1_lm_scoring
 from tidemill.llm.mixing import op7_mixing
-from tidemill.llm.near_dedup import op10_near_dedup
+from tidemill.llm.near_dedup import OP10_SQL, op10_near_dedup
 from tidemill.llm.packing import op5_packing
 from tidemill.llm.pii import op4_pii
 from tidemill.llm.quality import op2_quality_rules
@@ -36,4 +36,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": _over(op10_near_dedup, "documents"),
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_lm_scoring": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_lm_scoring": OP1_SQL, "op10_near_dedup": OP10_SQL}
