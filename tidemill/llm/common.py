@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the Python side of an operator works on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 U64 = np.uint64
 _GOLD, _MIX1, _MIX2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 

@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import U64, checkpointed, hash_words, mix, shuffle_partitions, slices, split_words, text_or_empty, trim, windows
+from tidemill.llm.common import U64, WORD, checkpointed, hash_words, mix, slices, split_words, text_or_empty, trim, windows
 from tidemill.llm.graph import grouped
 
 ORDER, BACKOFF, LEAST_COUNT = 3, 0.4, 2
 #: Bytes of text in a slice: a worker's memory is some ten times that.
 SCORED_BYTES = 12 << 20
 HASH_BITS = 56
+#: Bytes of packed n-grams of one order in a bucket, about.
+BUCKET_BYTES = 8 << 20
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -110,14 +112,18 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", corp
     ``corpus``, by default ``df`` itself; so an n-gram that only its own text holds once is no evidence for it. A null or wordless text has log_score 0 and
     a null mean. Repeated rows count, and are scored, as rows of their own; an empty table gives an empty one.
     """
-    spark = df.sparkSession
-    buckets = 1 << max(6, (2 * shuffle_partitions(spark) - 1).bit_length())
-    shift = U64(HASH_BITS - (buckets.bit_length() - 1))
     # Two passes meet slice by slice, so both must cut the same slices. Files are read in the same order whenever they are read;
     # what comes out of a shuffle is not, and is checkpointed first. Both passes take the same columns, so the same plan.
     rows = df.select(F.col(key).alias("id"), text_or_empty(text).alias("text"))
     if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
         rows = checkpointed(rows)
+    texts = rows.select("text") if corpus is None else corpus.select(text_or_empty(text).alias("text"))
+    size = lambda frame: frame.agg(F.sum(F.regexp_count("text", F.lit(WORD))), F.sum(F.octet_length("text").cast("long"))).first()
+    total, n_bytes = (int(x or 0) for x in size(texts))
+    n_bytes += int(size(rows)[1] or 0) if corpus is not None else 0
+    # As many buckets as the text needs, whatever the session's partitions are: the packed n-grams of an order are about as large as the text.
+    buckets = 1 << max(6, (-(-n_bytes // BUCKET_BYTES) - 1).bit_length())
+    shift = U64(HASH_BITS - (buckets.bit_length() - 1))
     names = ["slice", "wanted", "counted", "order", "bucket", "grams", "counts"]
 
     def explode(wanted: bool, counted: bool):
@@ -140,11 +146,8 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", corp
     kinds = "slice string, wanted boolean, counted boolean, order int, bucket int, grams binary, counts binary"
     if corpus is None:
         packed = rows.mapInArrow(explode(True, True), kinds)
-        counted_rows = rows
     else:
-        counted_rows = corpus.select(text_or_empty(text).alias("text"))
-        packed = rows.mapInArrow(explode(True, False), kinds).unionByName(counted_rows.select("text").mapInArrow(explode(False, True), kinds))
-    total = counted_rows.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n"))
+        packed = rows.mapInArrow(explode(True, False), kinds).unionByName(texts.mapInArrow(explode(False, True), kinds))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, ["order", "bucket"]):
@@ -182,7 +185,7 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", corp
             yield pa.RecordBatch.from_arrays([pa.array([slice_name(b.column("text"))]), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["slice", "order", "bucket", "counts"])
 
     frames = rows.mapInArrow(frame, "slice string, order int, bucket int, counts binary")
-    met = frames.unionByName(answers).crossJoin(F.broadcast(total)).repartition("slice").sortWithinPartitions("slice", "order", "bucket")
+    met = frames.unionByName(answers).repartition(max(12, 2 * n_bytes // SCORED_BYTES), "slice").sortWithinPartitions("slice", "order", "bucket")
     id_type = rows.schema["id"].dataType
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +206,7 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", corp
                             raise RuntimeError("a slice's n-grams and its counts differ; the input has changed while it was read")
                         counts.append(answer[codes])
                         del all_grams, codes, distinct
-                    sums, seen = score_slice(offsets, counts, int(g["n"][0].as_py() or 0), backoff, least_count)
+                    sums, seen = score_slice(offsets, counts, total, backoff, least_count)
                     n_words = np.diff(offsets)
                     mean = pa.array(np.divide(sums, n_words, out=np.zeros(len(sums)), where=n_words > 0), mask=n_words == 0)
                     yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n_words), pa.array(seen.astype(np.int64)), pa.array(sums), mean], [key, "n_words", "n_seen", "log_score", "mean_log_score"])

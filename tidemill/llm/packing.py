@@ -28,11 +28,11 @@ SEQUENCE, SEPARATOR = 1024, 2
 #: Pieces in a block, about. Waste at a block's end is a few sequences at most.
 BLOCK_PIECES = 8192
 #: Pre-tokens whose ids a worker remembers at once, from task to task.
-MOST_REMEMBERED = 300_000
+MOST_REMEMBERED = 200_000
 #: Pre-tokens that the tokenizer gets in one text.
 TOGETHER = 200
 #: Bytes of text that are encoded at once.
-ENCODED_BYTES = 8 << 20
+ENCODED_BYTES = 4 << 20
 
 # What the vectorised splitter below knows: texts in ASCII and Latin letters up to U+02AF, and the one pre-tokenizer that splits them so.
 _LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ʯ", "0-9²³¹¼½¾", r"\t\n\x0b\x0c\r "
