@@ -320,3 +320,48 @@ def test_nearest(db):
     assert [r["id"] for r in db.nearest("posts", "at", [101, 1], 4, approximate=True).collect()] == exact
     db.exec("DROP INDEX by_place")
     assert not db.manifest.table("posts").indexes
+
+
+def test_kept_index(db, monkeypatch):
+    """An index is written once, extended by what is added, and right after every change, in old versions and in branches."""
+    db.exec("CREATE TABLE posts (id INTEGER PRIMARY KEY, at VECTOR(2), n INTEGER); CREATE INDEX by_place ON posts USING hnsw (at vector_l2_ops)")
+    many = ", ".join(f"({i}, [{i * i}, 1], 0)" for i in range(40))
+    db.exec(f"INSERT INTO posts VALUES {many}, (99, NULL, 0)")
+    kept = db._index(db.manifest.table("posts").indexes["by_place"])
+    assert len(kept.parts()) == 1 and len(kept.centres()) == 40
+    then = db.last_version
+    branch = db.create_branch("other")
+    db.exec("SET ef_search = 1000; INSERT INTO posts VALUES (100, [101, 1], 0), (101, [99, 1], 0); DELETE FROM posts WHERE id = 10; UPDATE posts SET at = [100.5, 1] WHERE id = 1")
+    assert len(kept.centres()) == 40 and len(kept.parts()) > 1
+
+    def both(c, at=(101, 1), k=5):
+        return [[(r["id"], round(r["distance"], 4)) for r in c.nearest("posts", "at", list(at), k, approximate=a).collect()] for a in (False, True)]
+
+    exact, found = both(db)
+    assert found == exact and [i for i, _ in found[:3]] == [100, 1, 101] and 10 not in dict(found)
+    exact, found = both(db.db.connect(version=then))
+    assert dict(found).keys() <= set(range(40)) and found[0] == exact[0]
+    assert both(branch)[1][0] == (10, 1.0)
+    db.exec("ALTER TABLE posts RENAME COLUMN at TO place")
+    assert [r["id"] for r in db.nearest("posts", "place", [101, 1], 2, approximate=True).collect()] == [100, 1]
+    db.exec("ALTER TABLE posts RENAME COLUMN place TO at; BEGIN; INSERT INTO posts VALUES (102, [101.1, 1], 0)")
+    assert both(db)[0] == both(db)[1]
+    db.exec("ROLLBACK")
+    several = db.nearest_all("posts", "at", [(7, [49, 1]), (8, [64, 1])], 1, approximate=True)
+    assert sorted((r["query"], r["id"]) for r in several.collect()) == [(7, 7), (8, 8)]
+    monkeypatch.setattr("tidemill.store.vector_index.MOST_PARTS", 1)
+    kept.compact(db.manifest.table("posts").files)
+    assert len(kept.parts()) == 1 and both(db)[0] == both(db)[1]
+    db.exec("DROP INDEX by_place")
+    db.db.drop_branch("other")
+    db.db.log.vacuum(keep=1)
+    assert db.db.log.files.names(f"{db.db.log.root}/index") == []
+
+
+def test_index_without_vectors(db):
+    db.exec("CREATE TABLE e (v VECTOR(2)); CREATE INDEX i ON e USING hnsw (v vector_l2_ops)")
+    assert db.nearest("e", "v", [1, 2], 3, approximate=True).count() == 0
+    db.exec("INSERT INTO e VALUES (NULL)")
+    assert db.nearest("e", "v", [1, 2], 3, approximate=True).count() == 0
+    db.exec("INSERT INTO e VALUES ([1, 2]), ([1, 2]), ([5, 5])")
+    assert [r["distance"] for r in db.nearest("e", "v", [1, 2], 2, approximate=True).collect()] == [0.0, 0.0]

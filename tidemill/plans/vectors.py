@@ -68,17 +68,39 @@ def _ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recall(spark: SparkSession, sf_dir: str, metric: str = "l2", k: int = 10) -> tuple[int, float]:
     """(queries, recall at ``k``) of an index with the default settings, for all rows with ``vec_id % 50 = 0``, against all rows by brute force."""
-    from functools import reduce
-
     from tidemill.functions.ann import build_index
 
-    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    queries = df.where("vec_id % 50 = 0").select("vec_id", "embedding").collect()
-    index = build_index(df, "vec_id", "embedding", metric)
-    found = reduce(DataFrame.unionByName, [index.search([float(x) for x in v], k).select("vec_id").withColumn("q", F.lit(q)) for q, v in queries])
-    true = nearest_of(df, _queries(spark, sf_dir), "vec_id", "embedding", k, metric).select(F.col("query").alias("q"), "vec_id")
+    df, queries = spark.read.parquet(f"{sf_dir}/embeddings.parquet"), _queries(spark, sf_dir)
+    found = build_index(df, "vec_id", "embedding", metric).search_all(queries, k).select(F.col("query").alias("q"), "vec_id")
+    return len(queries), _hits(df, queries, found, metric, k)
+
+
+def _hits(df: DataFrame, queries: list, found: DataFrame, metric: str, k: int) -> float:
+    true = nearest_of(df, queries, "vec_id", "embedding", k, metric).select(F.col("query").alias("q"), "vec_id")
     total, hit = true.count(), true.join(found, ["q", "vec_id"]).count()
-    return len(queries), hit / total if total else 1.0
+    return hit / total if total else 1.0
+
+
+def kept_recall(spark: SparkSession, sf_dir: str, k: int = 10) -> tuple[int, float]:
+    """As ``recall``, of an index that a database keeps: built over half of the rows, then extended by INSERT, with rows deleted and changed since."""
+    from tidemill.sources.scratch import scratch
+    from tidemill.store.connection import Database
+
+    c = Database(spark, scratch(spark, "store")).attach_parquet(sf_dir, "embeddings").connect()
+    size = len(_query(spark, sf_dir))
+    c.exec(
+        f"CREATE TABLE v (vec_id INTEGER PRIMARY KEY, e VECTOR({size}), n INTEGER); INSERT INTO v SELECT vec_id, embedding, 0 FROM embeddings WHERE vec_id % 2 = 0; "
+        "CREATE INDEX v_e ON v USING hnsw (e vector_l2_ops); INSERT INTO v SELECT vec_id, embedding, 0 FROM embeddings WHERE vec_id % 2 = 1; "
+        "UPDATE v SET n = 1 WHERE vec_id % 100 = 1; DELETE FROM v WHERE vec_id % 100 = 3"
+    )
+    queries = _queries(spark, sf_dir)
+    found = c.nearest_all("v", "e", queries, k, approximate=True).select(F.col("query").alias("q"), "vec_id")
+    return len(queries), _hits(spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 100 <> 3"), queries, found, "l2", k)
+
+
+def _kept_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, reached = kept_recall(spark, sf_dir)
+    return spark.range(1).select(F.lit(n).cast("long").alias("queries"), F.lit(reached >= 0.9).alias("reached"))
 
 
 def _ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +116,7 @@ def register() -> None:
     plan("knn_dialect", _one, _sql_one())
     plan("knn_ann_all_cells", _ann, _sql_one())
     plan("knn_ann_recall", _ann_recall, "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
+    plan("knn_kept_index_recall", _kept_recall, "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
     plan("vec_distance_join", _join, "SELECT q.id AS q, e.vec_id FROM embeddings e, (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0) q WHERE list_distance(e.embedding, q.v) < 1.2")
     plan("vec_distance_filter", _within, "SELECT e.vec_id FROM embeddings e, (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) q WHERE list_distance(e.embedding, q.v) < 1.2")
     dialect("vec_literal", "SELECT round([1, 2, 3] <-> '[1,2,5]', 6) AS l2, round([1, 0] <=> [0, 2], 6) AS cosine, [1, 2] <#> [3, 4] AS ip, [0, 0] <=> [1, 1] AS zero", "SELECT 2.0::DOUBLE AS l2, 1.0::DOUBLE AS cosine, -11.0::DOUBLE AS ip, 1.0::DOUBLE AS zero")
