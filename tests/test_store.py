@@ -365,3 +365,22 @@ def test_index_without_vectors(db):
     assert db.nearest("e", "v", [1, 2], 3, approximate=True).count() == 0
     db.exec("INSERT INTO e VALUES ([1, 2]), ([1, 2]), ([5, 5])")
     assert [r["distance"] for r in db.nearest("e", "v", [1, 2], 2, approximate=True).collect()] == [0.0, 0.0]
+
+
+def test_definitions_change_without_files(db):
+    """A constant default, a new name and a dropped column leave the files alone, and rows right however they were written."""
+    db.exec("CREATE TABLE jars (id INTEGER PRIMARY KEY, lid TEXT); INSERT INTO jars VALUES (1, 'red'), (2, 'blue')")
+    files = db.manifest.table("jars").files
+    db.exec("ALTER TABLE jars ADD COLUMN grams INTEGER DEFAULT 450; ALTER TABLE jars RENAME COLUMN lid TO colour; ALTER TABLE jars ADD COLUMN lid TEXT DEFAULT 'tin'")
+    assert db.manifest.table("jars").files == files
+    db.exec("INSERT INTO jars (id, grams) VALUES (3, NULL); ALTER TABLE jars ADD COLUMN shelf INTEGER DEFAULT 7")
+    assert db.query("SELECT id, colour, grams, lid, shelf FROM jars ORDER BY id").rows == [(1, "red", 450, "tin", 7), (2, "blue", 450, "tin", 7), (3, None, None, "tin", 7)]
+    db.exec("UPDATE jars SET grams = 500, shelf = NULL WHERE id = 1; INSERT INTO jars VALUES (4, 'green', 1, 'cork', 2); DELETE FROM jars WHERE id = 3")
+    assert db.query("SELECT id, colour, grams, lid, shelf FROM jars ORDER BY id").rows == [(1, "red", 500, "tin", None), (2, "blue", 450, "tin", 7), (4, "green", 1, "cork", 2)]
+    db.exec("ALTER TABLE jars DROP COLUMN lid; ALTER TABLE jars ADD COLUMN lid TEXT; ALTER TABLE jars ADD COLUMN mark TEXT DEFAULT ('m' || 1)")
+    assert db.query("SELECT id, lid, mark FROM jars ORDER BY id").rows == [(1, None, "m1"), (2, None, "m1"), (4, None, "m1")]
+    db.exec("ALTER TABLE jars ADD COLUMN n INTEGER DEFAULT 3")
+    assert db.query("SELECT sum(n) FROM jars WHERE shelf = 7 OR shelf = 2").rows == [(6,)]
+    then = db.last_version
+    db.exec("ALTER TABLE jars RENAME COLUMN n TO many")
+    assert db.db.connect(version=then).query("SELECT count(*) FROM jars WHERE n = 3").rows == [(3,)]
