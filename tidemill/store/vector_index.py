@@ -64,7 +64,8 @@ class KeptIndex:
             return
         rows, centres = rest(files), self.centres()
         if centres is None:
-            centres = fit_cells(rows, "v", self.metric, ["file", "row"])
+            # Chosen by the vectors themselves: equal rows give equal cells, whatever their files are called.
+            centres = fit_cells(rows, "v", self.metric, ["v"])
             if not len(centres):
                 return
             self.files.make_folder(f"{self.folder}/lists")
